@@ -10,8 +10,8 @@ distinct lines: each line emits its hash without word i, for all i, as key (hash
 its own hash.  Lines that share (hash, i) differ in word i alone; a line whose own hash is another's
 hash without a word lacks that word.  So the earliest line of a key is within the bound of all
 others, and only it is linked: a million lines of one template make a million links and not their square.  Links are
-verified on the words.  Beforehand, lines that share with no other what one edit leaves of them, all but a half
-(of short lines a quarter), are left out.
+verified on the words.  Beforehand, lines that share neither their first nor their last half
+with another one of about their length are left out: one edit leaves one of the halves as it is.
 
 Null texts stay null.  Other columns are kept as they are.
 """
@@ -31,8 +31,6 @@ from tidemark.llm.common import slices, stored
 
 #: Tables of at most so many rows (of a few numbers each) are broadcast; larger ones are joined by key.
 BROADCAST_ROWS = 100_000
-#: Lines of fewer words are cut into four windows, so that the common words of two of them are many enough to tell.
-SHORT = 24
 MOD, BASE = (1 << 61) - 1, 0x1F3D5B79A8C6E421
 
 
@@ -44,28 +42,28 @@ def _side(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def _crc() -> Column:
+    return F.crc32(F.col("line").cast("binary"))
+
+
+def _split(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).alias("doc"), F.posexplode(F.split(text_col, "\n")).alias("line_no", "line"))
+
+
 def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc, line_no, line, words of each line that has a word."""
-    split = docs.select(F.col(id_col).alias("doc"), F.posexplode(F.split(text_col, "\n")).alias("line_no", "line"))
-    return split.withColumn("words", _words(F.col("line"))).filter(F.size("words") > 0)
-
+    return _split(docs, id_col, text_col).withColumn("words", _words(F.col("line"))).filter(F.size("words") > 0)
 
-def _frame_keys(min_words: int) -> Column:
-    """Hashes of what one edit leaves as it is, for both lengths that the longer line of a pair may have.
 
-    The longer line is cut into two windows, or four if it is short; the edit is in one of them, and the words before
-    and after that window are the same in both lines.
-    """
+def _half_keys(min_words: int) -> Column:
+    """For both lengths that the longer of a pair may have, the hashes of the first and of the last half."""
     n = F.size("words")
     keys = []
     for longer in (n, n + 1):
-        windows = F.when(longer < SHORT, 4).otherwise(2)
-        for j in range(4):
-            before = F.floor(longer * j / windows).cast("int")
-            after = longer - F.floor(longer * (j + 1) / windows).cast("int")
-            frame = F.xxhash64(longer, F.lit(j), F.slice("words", F.lit(1), before), F.lit(0), F.slice("words", n - after + 1, after))
-            keys.append(F.when(windows > j, frame))
-    return F.when(n >= min_words, F.array_compact(F.array(*keys)))
+        half = F.floor(longer / 2).cast("int")
+        last = longer - half
+        keys += [F.xxhash64(longer, F.lit(0), F.slice("words", F.lit(1), half)), F.xxhash64(longer, F.lit(1), F.slice("words", n - last + 1, last))]
+    return F.when(n >= min_words, F.array(*keys))
 
 
 def one_edit(a: list[bytes], b: list[bytes]) -> bool:
@@ -108,16 +106,17 @@ def duplicate_lines(docs: DataFrame, min_words: int = 8, id_col: str = "doc_id",
     found = lines(docs, id_col, text_col)
     h = F.struct(F.xxhash64("words").alias("h1"), F.xxhash64(F.lit(1), "words").alias("h2"))
     pos = F.struct(F.col("doc").isNull().alias("none"), "doc", "line_no")
-    seen = stored(found.select("doc", "line_no", F.crc32(F.col("line").cast("binary")).alias("crc"), h.alias("h"), _frame_keys(min_words).alias("frames")).select("doc", "line_no", "crc", "h.*", "frames"), "lines")
-    first = stored(seen.groupBy("h1", "h2").agg(F.min(pos).alias("first"), F.first("frames").alias("frames"), F.count("*").alias("n")), "first")
+    seen = stored(found.select("doc", "line_no", _crc().alias("crc"), h.alias("h"), _half_keys(min_words).alias("halves")).select("doc", "line_no", "crc", "h.*", "halves"), "lines")
+    first = stored(seen.groupBy("h1", "h2").agg(F.min(pos).alias("first"), F.min_by("crc", pos).alias("crc"), F.first("halves").alias("halves"), F.count("*").alias("n")), "first")
 
-    # distinct lines that share a frame with another
-    frames = first.select("h1", "h2", F.explode("frames").alias("frame"))
-    shared = frames.groupBy("frame").agg(F.min(F.struct("h1", "h2")).alias("a"), F.max(F.struct("h1", "h2")).alias("b")).filter("a <> b").select("frame")
-    alike = stored(frames.join(shared, "frame", "left_semi").select("h1", "h2").distinct().join(first.select("h1", "h2", "first"), ["h1", "h2"]), "alike")
+    # distinct lines that share a half with another
+    halves = first.select("h1", "h2", F.explode("halves").alias("half"))
+    shared = halves.groupBy("half").agg(F.min(F.struct("h1", "h2")).alias("a"), F.max(F.struct("h1", "h2")).alias("b")).filter("a <> b").select("half")
+    alike = stored(halves.join(shared, "half", "left_semi").select("h1", "h2").distinct().join(first.select("h1", "h2", "first", "crc"), ["h1", "h2"]), "alike")
     n_alike = alike.count()
-    at = alike.select("h1", "h2", F.col("first.doc").alias("_doc"), F.col("first.line_no").alias("_line"), "first")
-    texts = found.withColumn("_h1", F.xxhash64("words")).join(_side(at, n_alike), F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("line_no") == F.col("_line")) & (F.col("_h1") == F.col("h1")))
+    at = alike.select("h1", "h2", F.col("first.doc").alias("_doc"), F.col("first.line_no").alias("_line"), "first", F.col("crc").alias("_crc"))
+    # a line is known by its place; its crc tells rows of one id apart, without splitting all lines into words again
+    texts = _split(docs, id_col, text_col).join(_side(at, n_alike), F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("line_no") == F.col("_line")) & (_crc() == F.col("_crc")))
     # ids in the order of the lines; written before use, so that they hold; equal rows of one id give equal lines
     texts = texts.groupBy("h1", "h2").agg(F.min("first").alias("first"), F.first("line").alias("line"))
     texts = stored(texts.orderBy("first").select(F.monotonically_increasing_id().alias("id"), "h1", "h2", F.col("line").cast("binary").alias("line")), "alike_lines")
