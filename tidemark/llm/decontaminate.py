@@ -154,7 +154,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, slop:
     slop None: exact phrases; else proximity matches with that many further words between neighbours.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col(id_col).alias("doc_id"), utf8(text_col).alias("text"))
+    # a row's place in its scan: the same for every block of the test set
+    docs = docs.select(F.col(id_col).alias("doc_id"), utf8(text_col).alias("text"), F.monotonically_increasing_id().alias("row"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     shape = f"row long, doc_id {kind}, n_words long, hits array<long>, items array<string>"
     found = []
@@ -195,10 +196,7 @@ def _sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _matcher(shared, window: int, slop: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
         phrases: Phrases = shared.value
-        row = TaskContext.get().partitionId() << 40
         for part in _sized(batches):
             index = Postings(part.column(1).to_pylist(), phrases.terms, window + (slop or 0))
             n = part.num_rows
@@ -221,10 +219,9 @@ def _matcher(shared, window: int, slop: int | None):
                             hit(owners[w], at, end)
             names = phrases.items
             yield pa.RecordBatch.from_arrays([
-                pa.array(range(row, row + n), pa.int64()), part.column(0), pa.array(index.lengths),
+                part.column(2), part.column(0), pa.array(index.lengths),
                 pa.array([merged(s) for s in spans], pa.list_(pa.int64())), pa.array([[names[i] for i in sorted(s)] for s in items], pa.list_(pa.string())),
             ], ["row", "doc_id", "n_words", "hits", "items"])
-            row += n
 
     return run
 
