@@ -109,10 +109,10 @@ def duplicate_lines(docs: DataFrame, min_words: int = 8, id_col: str = "doc_id",
     seen = stored(found.select("doc", "line_no", _crc().alias("crc"), h.alias("h"), _half_keys(min_words).alias("halves")).select("doc", "line_no", "crc", "h.*", "halves"), "lines")
     first = stored(seen.groupBy("h1", "h2").agg(F.min(pos).alias("first"), F.min_by("crc", pos).alias("crc"), F.first("halves").alias("halves"), F.count("*").alias("n")), "first")
 
-    # distinct lines that share a half with another
-    halves = first.select("h1", "h2", F.explode("halves").alias("half"))
-    shared = halves.groupBy("half").agg(F.min(F.struct("h1", "h2")).alias("a"), F.max(F.struct("h1", "h2")).alias("b")).filter("a <> b").select("half")
-    alike = stored(halves.join(shared, "half", "left_semi").select("h1", "h2").distinct().join(first.select("h1", "h2", "first", "crc"), ["h1", "h2"]), "alike")
+    # distinct lines that share a half with another; a line emits a half once, so a count tells, and what one hash names too much is no link later
+    halves = first.select("h1", F.explode("halves").alias("half"))
+    shared = halves.groupBy("half").agg(F.count("*").alias("n")).filter("n > 1").select("half")
+    alike = stored(first.select("h1", "h2", "first", "crc").join(halves.join(shared, "half", "left_semi").select("h1").distinct(), "h1"), "alike")
     n_alike = alike.count()
     at = alike.select("h1", "h2", F.col("first.doc").alias("_doc"), F.col("first.line_no").alias("_line"), "first", F.col("crc").alias("_crc"))
     # a line is known by its place; its crc tells rows of one id apart, without splitting all lines into words again
