@@ -56,14 +56,14 @@ def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 
 def _half_keys(min_words: int) -> Column:
-    """For both lengths that the longer of a pair may have, the hashes of the first and of the last half."""
+    """Hashes of the first and of the last k words, for a line of 2k + 1 words, and of k and of k - 1 words for one of 2k.
+
+    Lines of 2k, 2k + 1 and 2k + 2 words have k in common, so any two whose lengths differ by one at most share it.
+    """
     n = F.size("words")
-    keys = []
-    for longer in (n, n + 1):
-        half = F.floor(longer / 2).cast("int")
-        last = longer - half
-        keys += [F.xxhash64(longer, F.lit(0), F.slice("words", F.lit(1), half)), F.xxhash64(longer, F.lit(1), F.slice("words", n - last + 1, last))]
-    return F.when(n >= min_words, F.array(*keys))
+    k = F.floor(n / 2).cast("int")
+    of = lambda k: [F.xxhash64(k, F.lit(0), F.slice("words", F.lit(1), k)), F.xxhash64(k, F.lit(1), F.slice("words", n - k + 1, k))]
+    return F.when(n >= min_words, F.when(n % 2 == 1, F.array(*of(k))).otherwise(F.array(*of(k), *of(k - 1))))
 
 
 def one_edit(a: list[bytes], b: list[bytes]) -> bool:
