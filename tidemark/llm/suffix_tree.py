@@ -5,12 +5,12 @@ than one in `alphabet` of all tokens) is a class of its own; other words share t
 bytes, which tell much of language and form.  A word's probability is that of its class after
 the classes before it, times its add-half share of its class, where all unseen words are one.
 
-Learning, level by level: contexts that come in less than `share` of all tokens are dropped (so at most 1 / share
-a level reach the driver, whatever the corpus), counts of what follows the others are gathered from all training
-texts, and a context is retained if its next-symbol distribution diverges from that of its longest
-retained suffix: N KL > the BIC price of its symbols.  A state's distribution is smoothed with its
-suffix's by Witten and Bell's weights, the root's by half counts.  Each symbol is scored in the state
-of the longest retained suffix of what came before.
+Learning, level by level: contexts that come `least` times or more, whatever the size of the corpus, are retained if
+their next-symbol distribution diverges from that of their longest retained suffix: N KL > the BIC price of its
+symbols.  A state's distribution is smoothed with its suffix's by Witten and Bell's weights, the root's by half
+counts.  Each symbol is scored in the state of the longest retained suffix of what came before.  Counts and
+probabilities are stored tables by (context, symbol), joined by key; contexts grow with the corpus and none
+reach the driver.
 
 The corpus is read twice: for the table of distinct words and their counts, which grows with the input and
 is never on one machine, and for the texts' classes, which are kept for learning and
@@ -28,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import crc32_of_id, slices, stored, utf8
@@ -38,8 +38,6 @@ START, END, OTHER, FIRST = 0, 1, 2, 3
 BITS = 20
 #: Distinct words that a task counts before it hands them on.
 FLUSH = 400_000
-#: Symbols of texts that a task counts at a time.
-CHUNK = 4_000_000
 
 
 def word_counts(docs: DataFrame, fold: int = 5, held: int = 1) -> DataFrame:
@@ -89,11 +87,11 @@ class Alphabet:
         return self.endings.get(word[-2:], OTHER) if at is None else at
 
 
-def make_alphabet(words: DataFrame, n: int, alphabet: int, share: float) -> Alphabet:
+def make_alphabet(words: DataFrame, n: int, alphabet: int, least: int) -> Alphabet:
     top = F.col("c") > max(n / alphabet, 1)
     frequent = sorted(bytes(r["word"]) for r in words.filter(top).select("word").toLocalIterator())  # fewer than `alphabet`
     by = words.filter(~top).groupBy(ending().alias("e")).agg(F.sum("c").alias("n"), F.count(F.when(F.col("c") > 0, 1)).alias("v"))
-    own = F.col("n") >= max(share * n / 10, 1)  # at most 10 / share
+    own = F.col("n") >= least  # of two bytes at most, so fewer than 2^17
     endings = {bytes(r["e"]): (r["n"], r["v"]) for r in by.filter(own).orderBy("e").toLocalIterator()}
     rest = by.filter(~own).agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
     return Alphabet(frequent, endings, tuple(rest))
@@ -138,39 +136,10 @@ def numbers(sym: np.ndarray, levels: list[Level]) -> list[np.ndarray]:
     return out
 
 
-def followers(seqs: DataFrame, levels: list[Level]) -> DataFrame:
-    """code (number of a context of the last level, next symbol), n over all sequences."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-
-        def out() -> pa.RecordBatch:
-            code, n = np.unique(np.concatenate(held), return_counts=True)
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(code), pa.array(n.astype(np.int64))], ["code", "n"])
-
-        for part in slices(batches, 2048):
-            sym, _ = spelled(part.column(0))
-            ctx = numbers(sym, levels)[-1]
-            ok = (ctx >= 0) & (sym != START)
-            held.append(ctx[ok] << BITS | sym[ok])
-            size += len(sym)
-            if size > CHUNK:
-                yield out()
-                size = 0
-        if held:
-            yield out()
-
-    return seqs.mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
-
-
-def _table(df: DataFrame, *columns: str) -> list[np.ndarray]:
-    got = df.select(*columns).toArrow()
-    return [got.column(c).to_numpy() for c in columns]
-
-
 class SuffixTree:
-    """Levels of contexts; of the retained ones the log10 probabilities of symbols seen after them, and the weight of their suffix."""
+    """The model on one machine, for small inputs and as the measure of `gram_scores`.
+
+    Levels of contexts; of the retained ones the log10 probabilities of symbols seen after them, and the weight of their suffix."""
 
     def __init__(self, size: int, counts: list[tuple[np.ndarray, np.ndarray]], levels: list[Level]):
         """counts: by level (0: the root), codes of (context, next symbol) and how often."""
@@ -256,28 +225,64 @@ class SuffixTree:
         return out
 
 
-def learn(seqs: DataFrame, size: int, n: int, depth: int, share: float) -> SuffixTree:
-    """seqs: seq of the training texts."""
-    levels: list[Level] = []
-    counts = [tuple(_table(followers(seqs, levels), "code", "n"))]  # the root's: one row a symbol
-    least = max(2.0, share * n)
-    grown = counts[0]
-    starts = np.array([START])  # texts' beginnings are contexts too, though never a next symbol
-    for d in range(depth):
-        code = grown[0][grown[1] >= least]
-        code = code[(code & (1 << BITS) - 1) != END]
-        level = Level(np.concatenate([code, starts]) if d == 0 else code)
-        if not len(level.codes):
-            break
-        levels.append(level)
-        found = stored(followers(seqs, levels), "followers")
-        # what follows contexts of the level; only they grow, by symbols that are frequent after them
-        counts.append(tuple(_table(found, "code", "n")))
-        grown = counts[-1]
-    return SuffixTree(size, counts, levels)
-
-
-def score(docs: DataFrame, fold: int = 5, held: int = 1, depth: int = 3, share: float = 5e-4, alphabet: int = 20_000, rare: int = 300_000) -> DataFrame:
+def places(parts: DataFrame, depth: int, *columns: str) -> DataFrame:
+    """Each symbol of each seq: the columns, ctx (up to depth symbols before it, START at most the first), sym.
+
+    ctx has BITS bits a symbol, the last one lowest; symbols count from 1 there, so contexts of all lengths differ.
+    """
+    kinds = ", ".join(f"{c} {parts.schema[c].dataType.simpleString()}" for c in columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            sym, starts = spelled(part.column(0))
+            lengths = np.diff(np.append(starts, len(sym)))
+            nth = np.arange(len(sym)) - np.repeat(starts, lengths)
+            ctx = np.zeros(len(sym), np.int64)
+            for d in range(1, depth + 1):
+                at = np.flatnonzero(nth >= d)
+                ctx[at] |= sym[at - d] + 1 << BITS * (d - 1)
+            inner = nth > 0
+            text = pa.array(np.repeat(np.arange(len(starts)), lengths)[inner])
+            yield pa.RecordBatch.from_arrays([*[part.column(1 + i).take(text) for i in range(len(columns))], pa.array(ctx[inner]), pa.array(sym[inner].astype(np.int32))], [*columns, "ctx", "sym"])
+
+    return parts.select("seq", *columns).mapInArrow(run, f"{kinds}, ctx long, sym int")
+
+
+def gram_scores(parts: DataFrame, size: int, depth: int, least: int) -> DataFrame:
+    """ctx, sym, lp (log10 probability of sym after ctx) of all that occur in parts (train, seq); learned where train is true.
+
+    Level by level: contexts with at least `least` symbols after them are tested against their suffix, whose
+    probabilities are joined by (suffix, symbol).  A context has at most one row a symbol.
+    """
+    if BITS * depth > 62 or size >= 1 << BITS:
+        raise ValueError("contexts need to fit a long")
+    grams = stored(places(parts, depth, "train").groupBy("ctx", "sym").agg(F.sum(F.col("train").cast("long")).alias("n")), "grams")
+    counts = stored(grams.groupBy("sym").agg(F.sum("n").alias("n")), "symbols")  # at most `size` rows
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] + 0.5 * (size - 1)  # START is never next
+    below = counts.select("sym", F.log10((F.col("n") + 0.5) / total).alias("below"), F.lit(True).alias("open"))
+    keys = ["sym"]
+    for d in range(1, depth + 1):
+        mask = (1 << BITS * d) - 1
+        level = grams if d == depth else grams.groupBy(F.col("ctx").bitwiseAND(F.lit(mask).cast("long")).alias("ctx"), "sym").agg(F.sum("n").alias("n"))
+        if d > 1:
+            level = level.withColumn("suffix", F.col("ctx").bitwiseAND(F.lit(mask >> BITS).cast("long")))
+        level = level.join(F.broadcast(below) if d == 1 else below, keys)
+        # shorter contexts end at a text's beginning; those of a suffix that is rarer than `least` are so too
+        level = stored(level.withColumn("open", F.col("open") & (F.shiftright("ctx", BITS * (d - 1)) > 0)), "level")
+        by = Window.partitionBy("ctx")
+        n, q = F.col("n"), F.col("below")
+        tried = level.filter("open").select("ctx", "sym", "n", "below", F.sum("n").over(by).alias("total"), F.sum((n > 0).cast("long")).over(by).alias("kinds"),
+            F.sum(F.when(n > 0, n * (F.log(n.cast("double")) - q * float(np.log(10))))).over(by).alias("gain"))
+        total_, kinds = F.col("total"), F.col("kinds")
+        retained = (total_ >= least) & (F.col("gain") - total_ * F.log(total_.cast("double")) > 0.5 * kinds * F.log(total_.cast("double")))
+        lp = F.when(retained, F.log10((n + kinds * F.pow(F.lit(10.0), q)) / (total_ + kinds))).otherwise(q)
+        done = tried.select("ctx", "sym", lp.alias("below"), (total_ >= least).alias("open"))
+        done = stored(done.unionByName(level.filter("NOT open").select("ctx", "sym", "below", "open")), "scored")
+        below, keys = done.withColumnRenamed("ctx", "suffix"), ["suffix", "sym"]
+    return done.select("ctx", "sym", F.col("below").alias("lp"))
+
+
+def score(docs: DataFrame, fold: int = 5, held: int = 1, depth: int = 3, least: int = 10, alphabet: int = 20_000, rare: int = 300_000) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
@@ -286,7 +291,7 @@ def score(docs: DataFrame, fold: int = 5, held: int = 1, depth: int = 3, share:
     c_sum, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1))).first()
     n, v = c_sum + n_texts, distinct + (n_texts > 0)
     floor = float(np.log10(n + 0.5 * (v + 1)))
-    classes = make_alphabet(words, n, alphabet, share)
+    classes = make_alphabet(words, n, alphabet, least)
     # more than n / rare occurrences: fewer than `rare` words
     table = words.filter(F.col("c") > max(n / rare, 1)).toArrow()
     frequent, counts = table.column("word").to_pylist(), table.column("c").to_numpy()
@@ -294,21 +299,15 @@ def score(docs: DataFrame, fold: int = 5, held: int = 1, depth: int = 3, share:
     kind = docs.schema["doc_id"].dataType.simpleString()
     shape = f"row long, doc_id {kind}, seq array<int>, n long, known long, base double, own double, rare array<struct<word: binary, n: long>>"
     parts = stored(docs.select("doc_id", utf8().alias("text")).mapInArrow(_parts(shared, floor), shape), "classes")
-    train = parts.filter(F.pmod(crc32_of_id(), F.lit(fold)) != held).select("seq")
-    tree = spark.sparkContext.broadcast(learn(train, classes.size, n, depth, share))
-
-    def spelled_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t: SuffixTree = tree.value
-        for part in slices(batches):
-            sym, starts = spelled(part.column(1))
-            lp = np.add.reduceat(t.log(sym), starts) if len(sym) else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([part.column(0), *(part.column(i) for i in range(2, 7)), pa.array(lp)], ["row", "doc_id", "n", "known", "base", "own", "lp"])
-
-    texts = parts.select("row", "seq", "doc_id", "n", "known", "base", "own").mapInArrow(spelled_out, f"row long, doc_id {kind}, n long, known long, base double, own double, lp double")
+    trained = parts.withColumn("train", F.pmod(crc32_of_id(), F.lit(fold)) != held)
+    probable = gram_scores(trained, classes.size, depth, least)
+    # plain scans on both sides, so that Spark can split a pair that is very common
+    lp = places(parts, depth, "row").join(probable, ["ctx", "sym"]).groupBy("row").agg(F.sum("lp").alias("lp"))
+    texts = parts.select("row", "doc_id", "n", "known", "base", "own").join(lp, "row")
     # rare words: their counts by a join; no word is in a large part of its rows, as frequent ones are not among them
     others = parts.select("row", F.explode("rare").alias("r")).select("row", "r.word", F.col("r.n").alias("n"))
     totals = F.when(F.col("e").isNull(), float(classes.log_total[OTHER])).otherwise(F.col("t"))
-    ends = spark.createDataFrame([(bytearray(e), float(classes.log_total[i])) for e, i in classes.endings.items()], "e binary, t double")  # at most 10 / share rows
+    ends = spark.createDataFrame([(bytearray(e), float(classes.log_total[i])) for e, i in classes.endings.items()], "e binary, t double")  # fewer than 2^17 rows
     judged = words.join(F.broadcast(ends), ending() == F.col("e"), "left").select("word", F.col("c").alias("_c"), (F.log10(F.col("c") + 0.5) - totals).alias("_own"))
     found = others.join(judged, "word").groupBy("row").agg(
         F.sum(F.when(F.col("_c") > 0, F.col("n")).otherwise(0)).alias("known"), F.sum(F.col("n") * (F.log10(F.col("_c") + 0.5) - floor)).alias("base"), F.sum(F.col("n") * F.col("_own")).alias("own")
