@@ -3,11 +3,12 @@
 Lines are compared by their words (split at ASCII white space); lines without words are never
 touched.  Earlier means a smaller (doc_id, line number); an id that comes twice is one
 document, ids of null come last.  A line of `min_words` words or more also goes if any earlier line,
-kept or not, differs in one word inserted, deleted or replaced.
+kept or not, differs in one word inserted, deleted or replaced; the earlier one may be a word shorter than `min_words`.
+Lines of fewer words only go if they equal an earlier one.
 
 Equal lines are found by two 64-bit hashes.  The near ones by a deletion-neighbourhood join of
 distinct lines: each line emits its hash without word i, for all i, as key (hash, i), and (hash) alone, and
-its own hash.  Lines that share (hash, i) differ in word i alone; a line whose own hash is another's
+its own hash; lines of `min_words` - 1 words, which only others can be near to, emit their own hash alone.  Lines that share (hash, i) differ in word i alone; a line whose own hash is another's
 hash without a word lacks that word.  So the earliest line of a key is within the bound of all
 others, and only it is linked: a million lines of one template make a million links and not their square.  Links are
 verified on the words.  Beforehand, lines that share neither their first nor their last half
@@ -63,7 +64,7 @@ def _half_keys(min_words: int) -> Column:
     n = F.size("words")
     k = F.floor(n / 2).cast("int")
     of = lambda k: [F.xxhash64(k, F.lit(0), F.slice("words", F.lit(1), k)), F.xxhash64(k, F.lit(1), F.slice("words", n - k + 1, k))]
-    return F.when(n >= min_words, F.when(n % 2 == 1, F.array(*of(k))).otherwise(F.array(*of(k), *of(k - 1))))
+    return F.when(n >= min_words - 1, F.when(n % 2 == 1, F.array(*of(k))).otherwise(F.array(*of(k), *of(k - 1))))
 
 
 def one_edit(a: list[bytes], b: list[bytes]) -> bool:
@@ -79,8 +80,8 @@ def one_edit(a: list[bytes], b: list[bytes]) -> bool:
     return max(len(a), len(b)) - i - j <= 1
 
 
-def neighbourhood(words: list[bytes]) -> Iterator[tuple[int, int]]:
-    """(kind, key): 0 without word i and i, 1 without word i, 2 the whole; rolling, so linear in the words."""
+def neighbourhood(words: list[bytes], min_words: int = 0) -> Iterator[tuple[int, int]]:
+    """(kind, key): 0 without word i and i, 1 without word i, 2 the whole; rolling, so linear in the words.  Of fewer than min_words words the whole only."""
     h = [xxhash.xxh64_intdigest(w) % MOD for w in words]
     n = len(h)
     after, power = [0] * (n + 1), 1  # the hash of all words from i on
@@ -91,6 +92,8 @@ def neighbourhood(words: list[bytes]) -> Iterator[tuple[int, int]]:
     for _ in range(n):
         powers.append(powers[-1] * BASE % MOD)
     yield 2, hash((after[0], n))
+    if n < min_words:
+        return
     before, last = 0, None
     for i in range(n):
         without = (before * powers[n - 1 - i] + after[i + 1]) % MOD
@@ -125,7 +128,7 @@ def duplicate_lines(docs: DataFrame, min_words: int = 8, id_col: str = "doc_id",
         for part in slices(batches):
             ids, kinds, keys = [], [], []
             for i, line in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                for kind, key in neighbourhood(line.split()):
+                for kind, key in neighbourhood(line.split(), min_words):
                     ids.append(i)
                     kinds.append(kind)
                     keys.append(key)
@@ -144,7 +147,8 @@ def duplicate_lines(docs: DataFrame, min_words: int = 8, id_col: str = "doc_id",
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            ok = [one_edit(a.split(), b.split()) for a, b in zip(part.column(2).to_pylist(), part.column(3).to_pylist())]
+            both = [(a.split(), b.split()) for a, b in zip(part.column(2).to_pylist(), part.column(3).to_pylist())]
+            ok = [len(a) >= min_words and one_edit(a, b) for a, b in both]
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], ["h1", "h2"]).filter(pa.array(ok, pa.bool_()))
 
     near = stored(pairs.select("h1", "h2", "line", "other").mapInArrow(verified, "h1 long, h2 long").distinct(), "near")
