@@ -17,26 +17,74 @@ SPACE = r"[\x20\x09-\x0D]"
 SLICE = 256
 
 
+#: Bits of a `Sieve`, and bits of one of its rows: 2048 rows of 4 kB at most, whatever the input.
+SIEVE_BITS, SIEVE_ROW = 1 << 26, 1 << 15
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new path under spark.checkpoint.dir, which executors and driver share.
 
-    Only where that is unset (one machine, as in tests) a temporary folder is used.
+    Where that is unset, a temporary folder is used if the master is local (one machine, as in tests); a cluster is refused.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/tidemark"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.partition("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = f"file://{tempfile.gettempdir()}/tidemark"
     return os.path.join(base, f"{name}-{uuid.uuid4().hex}")
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """The DataFrame written to the shared folder and read again: computed once, and safe from lost executors.
 
-    The folder goes when the driver's file system closes.
+    The folder goes with `discard`, or when the driver's file system closes.
     """
     spark = df.sparkSession
     path = shared_folder(spark, name)
     df.write.parquet(path)
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of `stored` whose last reader has been written."""
+    for t in tables:
+        p = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t._stored_at)
+        p.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
+
+
+class Sieve:
+    """A bitmap of hashed keys, of a fixed size: rows whose key is in the table always pass, others pass at the rate at which bits are set.
+
+    It spares rows a shuffle that the join behind it would drop anyway; where it is full, all rows pass and the join alone decides.
+    """
+
+    def __init__(self, keys: DataFrame, *columns: str | Column):
+        bit = F.pmod(F.xxhash64(*columns), F.lit(SIEVE_BITS))
+        row, at = F.floor(bit / SIEVE_ROW).cast("int"), F.pmod(bit, F.lit(SIEVE_ROW))
+        bits = keys.select(row.alias("_row"), at.alias("_at")).groupBy("_row").agg(F.bitmap_construct_agg("_at").alias("_bits"))
+        self.bits = stored(bits, "sieve")  # at most SIEVE_BITS / SIEVE_ROW rows
+
+    def mark(self, df: DataFrame, name: str, *columns: str | Column) -> DataFrame:
+        """df with a boolean column: whether the key may be in the table."""
+        bit = F.pmod(F.xxhash64(*columns), F.lit(SIEVE_BITS))
+        of, at = f"{name}_row", F.pmod(bit, F.lit(SIEVE_ROW))
+        side = self.bits.select(F.col("_row").alias(of), F.col("_bits").alias(f"{name}_bits"))
+        byte = F.conv(F.hex(F.substring(F.col(f"{name}_bits"), F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+        is_set = F.coalesce(F.getbit(byte, F.pmod(at, F.lit(8)).cast("int")) == 1, F.lit(False))
+        joined = df.join(F.broadcast(side), F.floor(bit / SIEVE_ROW).cast("int") == F.col(of), "left")
+        return joined.withColumn(name, is_set).drop(of, f"{name}_bits")
+
+    def passed(self, df: DataFrame, *columns: str | Column) -> DataFrame:
+        return self.mark(df, "_passed", *columns).filter("_passed").drop("_passed")
+
+
+def named(column: str) -> Column:
+    """The column of that very name, dots and backticks included."""
+    return F.col("`" + column.replace("`", "``") + "`")
 
 
 def crc32_of_id(doc_id: str = "doc_id") -> Column:
@@ -53,7 +101,3 @@ def slices(batches: Iterator[pa.RecordBatch], n: int = SLICE) -> Iterator[pa.Rec
     for batch in batches:
         for at in range(0, batch.num_rows, n):
             yield batch.slice(at, n)
-
-
-def broadcast_value(spark: SparkSession, value):
-    return spark.sparkContext.broadcast(value)

@@ -6,7 +6,7 @@ document, ids of null come last.  A line of `min_words` words or more also goes
 kept or not, differs in one word inserted, deleted or replaced; the earlier one may be a word shorter than `min_words`.
 Lines of fewer words only go if they equal an earlier one.
 
-Equal lines are found by two 64-bit hashes.  The near ones by a deletion-neighbourhood join of
+Equal lines are found by two 64-bit hashes, rows of one id are told apart by a hash of their text.  The near ones by a deletion-neighbourhood join of
 distinct lines: each line emits its hash without word i, for all i, as key (hash, i), and (hash) alone, and
 its own hash; lines of `min_words` - 1 words, which only others can be near to, emit their own hash alone.  Lines that share (hash, i) differ in word i alone; a line whose own hash is another's
 hash without a word lacks that word.  So the earliest line of a key is within the bound of all
@@ -14,24 +14,23 @@ others, and only it is linked: a million lines of one template make a million li
 verified on the words.  Beforehand, lines that share neither their first nor their last half
 with another one of about their length are left out: one edit leaves one of the halves as it is.
 
-Null texts stay null.  Other columns are kept as they are.
+Null texts stay null; an empty table gives an empty one.  Other columns are kept as they are, whatever their names.  Equal lines at
+one place of rows with one id are one line.  A very long text costs as many rows as it has lines, a very long line as many keys as it has words.
 """
 
 from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
-from zlib import crc32
 
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tidemark.llm.common import slices, stored
+from tidemark.llm.common import Sieve, discard, named, slices, stored
 
-#: Tables of at most so many rows (of a few numbers each) are broadcast; larger ones are joined by key.
-BROADCAST_ROWS = 100_000
 MOD, BASE = (1 << 61) - 1, 0x1F3D5B79A8C6E421
 
 
@@ -39,20 +38,13 @@ def _words(line: Column) -> Column:
     return F.array_remove(F.split(line, r"[\x20\x09-\x0D]+"), "")
 
 
-def _side(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
-
-
-def _crc() -> Column:
-    return F.crc32(F.col("line").cast("binary"))
-
-
 def _split(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).alias("doc"), F.posexplode(F.split(text_col, "\n")).alias("line_no", "line"))
+    text = named(text_col)
+    return docs.select(named(id_col).alias("doc"), F.xxhash64(text).alias("text_hash"), F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
 
 
 def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc, line_no, line, words of each line that has a word."""
+    """doc, text_hash, line_no, line, words of each line that has a word."""
     return _split(docs, id_col, text_col).withColumn("words", _words(F.col("line"))).filter(F.size("words") > 0)
 
 
@@ -105,24 +97,30 @@ def neighbourhood(words: list[bytes], min_words: int = 0) -> Iterator[tuple[int,
 
 
 def duplicate_lines(docs: DataFrame, min_words: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc, line_no, crc (of the line's bytes), near (false: equal to an earlier line) of every line that goes."""
+    """doc, text_hash (of the whole text, which tells rows of one id apart), line_no, near (false: equal to an earlier line) of every line that goes.
+
+    One plan at every size: all joins are by key, and a `Sieve` of fixed size keeps back rows that have no partner.
+    """
     found = lines(docs, id_col, text_col)
     h = F.struct(F.xxhash64("words").alias("h1"), F.xxhash64(F.lit(1), "words").alias("h2"))
     pos = F.struct(F.col("doc").isNull().alias("none"), "doc", "line_no")
-    seen = stored(found.select("doc", "line_no", _crc().alias("crc"), h.alias("h"), _half_keys(min_words).alias("halves")).select("doc", "line_no", "crc", "h.*", "halves"), "lines")
-    first = stored(seen.groupBy("h1", "h2").agg(F.min(pos).alias("first"), F.min_by("crc", pos).alias("crc"), F.first("halves").alias("halves"), F.count("*").alias("n")), "first")
+    seen = stored(found.select("doc", "text_hash", "line_no", h.alias("h"), _half_keys(min_words).alias("halves")).select("doc", "text_hash", "line_no", "h.*", "halves"), "lines")
+    first = stored(seen.groupBy("h1", "h2").agg(F.min(pos).alias("first"), F.min_by("text_hash", pos).alias("text_hash"), F.first("halves").alias("halves"), F.count("*").alias("n")), "first")
 
     # distinct lines that share a half with another; a line emits a half once, so a count tells, and what one hash names too much is no link later
     halves = first.select("h1", F.explode("halves").alias("half"))
-    shared = halves.groupBy("half").agg(F.count("*").alias("n")).filter("n > 1").select("half")
-    alike = stored(first.select("h1", "h2", "first", "crc").join(halves.join(shared, "half", "left_semi").select("h1").distinct(), "h1"), "alike")
-    n_alike = alike.count()
-    at = alike.select("h1", "h2", F.col("first.doc").alias("_doc"), F.col("first.line_no").alias("_line"), "first", F.col("crc").alias("_crc"))
-    # a line is known by its place; its crc tells rows of one id apart, without splitting all lines into words again
-    texts = _split(docs, id_col, text_col).join(_side(at, n_alike), F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("line_no") == F.col("_line")) & (_crc() == F.col("_crc")))
+    shared = stored(halves.groupBy("half").agg(F.count("*").alias("n")).filter("n > 1").select("half"), "shared")
+    sharing = stored(Sieve(shared, "half").passed(halves, "half").join(shared, "half", "left_semi").select("h1").distinct(), "sharing")
+    alike = Sieve(sharing, "h1").passed(first.select("h1", "h2", "first", "text_hash"), "h1").join(sharing, "h1", "left_semi")
+    at = stored(alike.select("h1", "h2", F.col("first.doc").alias("_doc"), F.col("first.line_no").alias("_line"), "first", F.col("text_hash").alias("_hash")), "alike")
+    discard(shared, sharing)
+    # a line is known by its place, without splitting all lines into words again
+    split = Sieve(at, "_doc", "_line", "_hash").passed(_split(docs, id_col, text_col), "doc", "line_no", "text_hash")
+    texts = split.join(at, F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("line_no") == F.col("_line")) & (F.col("text_hash") == F.col("_hash")))
     # ids in the order of the lines; written before use, so that they hold; equal rows of one id give equal lines
     texts = texts.groupBy("h1", "h2").agg(F.min("first").alias("first"), F.first("line").alias("line"))
     texts = stored(texts.orderBy("first").select(F.monotonically_increasing_id().alias("id"), "h1", "h2", F.col("line").cast("binary").alias("line")), "alike_lines")
+    discard(at)
 
     def emitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
@@ -142,7 +140,7 @@ def duplicate_lines(docs: DataFrame, min_words: int = 8, id_col: str = "doc_id",
     least = keys.groupBy("key").agg(F.min(F.when(~whole, F.col("id"))).alias("variant"), F.min(F.when(whole, F.col("id"))).alias("whole"), F.count("*").alias("n"))
     least = stored(least.filter("n > 1"), "least")  # plain tables on both sides, so that Spark can split a key of many lines
     partner = F.when(F.col("kind") == 1, F.col("whole")).otherwise(F.col("variant"))
-    links = keys.join(least, "key").withColumn("partner", partner).filter("partner < id").select("id", "partner").distinct()
+    links = Sieve(least, "key").passed(keys, "key").join(least, "key").withColumn("partner", partner).filter("partner < id").select("id", "partner").distinct()
     pairs = links.join(texts.select("id", "h1", "h2", "line"), "id").join(texts.select(F.col("id").alias("partner"), F.col("line").alias("other")), "partner")
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,15 +149,18 @@ def duplicate_lines(docs: DataFrame, min_words: int = 8, id_col: str = "doc_id",
             ok = [len(a) >= min_words and one_edit(a, b) for a, b in both]
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], ["h1", "h2"]).filter(pa.array(ok, pa.bool_()))
 
-    near = stored(pairs.select("h1", "h2", "line", "other").mapInArrow(verified, "h1 long, h2 long").distinct(), "near")
-    near = _side(near.withColumn("near", F.lit(True)), near.count())
+    near = stored(pairs.select("h1", "h2", "line", "other").mapInArrow(verified, "h1 long, h2 long").distinct().withColumn("near", F.lit(True)), "near")
+    discard(keys, least, texts)
     # equal lines that come once need no look-up; the others' first places are joined by hash
-    repeated = stored(first.filter("n > 1").select("h1", "h2", "first").join(near, ["h1", "h2"], "left").unionByName(
-        first.filter("n = 1").select("h1", "h2", "first").join(near, ["h1", "h2"])), "repeated")
-    judged = seen.select("doc", "line_no", "crc", "h1", "h2").join(repeated, ["h1", "h2"])
+    judged = Sieve(near, "h1").mark(first.select("h1", "h2", "first", "n"), "maybe", "h1").filter("n > 1 OR maybe")
+    judged = judged.join(near, ["h1", "h2"], "left").filter("n > 1 OR near").select("h1", "h2", "first", F.col("near").isNotNull().alias("near"))
+    judged = stored(judged, "judged")
+    discard(near, first)
+    mine = Sieve(judged, "h1", "h2").passed(seen.select("doc", "text_hash", "line_no", "h1", "h2"), "h1", "h2").join(judged, ["h1", "h2"])
     is_first = pos.eqNullSafe(F.col("first"))
-    gone = judged.filter(F.col("near").isNotNull() | ~is_first)
-    return gone.select("doc", "line_no", "crc", is_first.alias("near"))
+    gone = stored(mine.filter(F.col("near") | ~is_first).select("doc", "text_hash", "line_no", is_first.alias("near")), "gone")
+    discard(judged, seen)
+    return gone
 
 
 def _keys(keys: list[int], kinds: list[int], ids: list[int]) -> pa.RecordBatch:
@@ -167,56 +168,52 @@ def _keys(keys: list[int], kinds: list[int], ids: list[int]) -> pa.RecordBatch:
 
 
 def dedup_lines(docs: DataFrame, min_words: int = 8, id_col: str = "doc_id", text_col: str = "text", report: bool = False) -> DataFrame:
-    """The rows with their texts less the lines that go; with report, also n_lines, n_equal, n_near and emptied (it had words, and has none left)."""
-    gone = duplicate_lines(docs, min_words, id_col, text_col)
+    """The rows with their texts less the lines that go; with report, also n_lines, n_equal, n_near and emptied (it had words, and has none left).
+
+    Only texts that lose a line, and a few others by the sieve's rate, meet their lists in a shuffle; the others pass by.
+    """
     tag = uuid.uuid4().hex[:8]  # of column names that no table has
-    drop = gone.groupBy(F.col("doc").alias(f"_doc_{tag}")).agg(F.collect_set(F.struct("line_no", "crc", "near")).alias(f"_drop_{tag}"))  # at most a document's lines
-    drop = stored(drop, "drop")
-    side = _side(drop, drop.agg(F.coalesce(F.sum(F.size(f"_drop_{tag}")), F.lit(0))).first()[0])
-    with_drops = docs.join(side, F.col(id_col).eqNullSafe(F.col(f"_doc_{tag}")), "left").select(*[docs[c] for c in docs.columns], f"_drop_{tag}")
+    may, doc, text_hash, drop = (f"{n}_{tag}" for n in ("may", "doc", "hash", "drop"))
+    gone = duplicate_lines(docs, min_words, id_col, text_col)
+    lists = gone.groupBy("doc", "text_hash").agg(F.collect_set(F.struct("line_no", "near")).alias(drop))  # at most a document's lines
+    lists = stored(lists.withColumnsRenamed({"doc": doc, "text_hash": text_hash}), "lists")
+    discard(gone)
     at = docs.columns.index(text_col)
-    extra = ["n_lines long", "n_equal long", "n_near long", "emptied boolean"]
-    names = [f"{c.split()[0]}_{tag}" for c in extra]
+    own, text = [named(c) for c in docs.columns], named(text_col)
+    extra = {"n_lines": "long", "n_equal": "long", "n_near": "long", "emptied": "boolean"}
+    n_lines = F.when(text.isNull(), 0).otherwise(F.size(F.split(text, "\n"))).cast("long")
+    marked = Sieve(lists, doc, text_hash).mark(docs, may, named(id_col), F.xxhash64(text))
+    untouched = marked.filter(~F.col(may)).select(*own, n_lines.alias(f"n_lines_{tag}"), *[F.lit(0).cast(kind).alias(f"{n}_{tag}") for n, kind in list(extra.items())[1:]])
+    touched = marked.filter(may).join(lists, named(id_col).eqNullSafe(F.col(doc)) & (F.xxhash64(text) == F.col(text_hash)), "left").select(*own, drop)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             texts, n_lines, n_equal, n_near, emptied = [], [], [], [], []
             for text, dropped in zip(part.column(at).to_pylist(), part.column(part.num_columns - 1).to_pylist()):
-                drop = {(d["line_no"], d["crc"]): d["near"] for d in dropped or ()}
-                equal = near = 0
-                kept = parts = text.split("\n") if text is not None else []
-                if drop:
-                    kept = []
-                    for i, line in enumerate(parts):
-                        how = drop.get((i, crc32(line.encode())))
-                        if how is None:
-                            kept.append(line)
-                        else:
-                            near += how
-                            equal += not how
-                    text = "\n".join(kept)
+                how = {d["line_no"]: d["near"] for d in dropped or ()}
+                parts = text.split("\n") if text is not None else []
+                if how:
+                    text = "\n".join(line for i, line in enumerate(parts) if i not in how)
                 texts.append(text)
                 n_lines.append(len(parts))
-                n_equal.append(equal)
-                n_near.append(near)
-                emptied.append(bool(equal + near) and not text.encode().split())
+                n_near.append(sum(how.values()))
+                n_equal.append(len(how) - n_near[-1])
+                emptied.append(bool(how) and not text.encode().split())
             columns = list(part.columns[:-1])
             columns[at] = pa.array(texts, part.schema.field(at).type)
             more = [pa.array(n_lines, pa.int64()), pa.array(n_equal, pa.int64()), pa.array(n_near, pa.int64()), pa.array(emptied, pa.bool_())]
-            yield pa.RecordBatch.from_arrays([*columns, *more], [*part.schema.names[:-1], *names])
-
-    from pyspark.sql.types import BooleanType, LongType, StructType
+            yield pa.RecordBatch.from_arrays([*columns, *more], [*part.schema.names[:-1], *[f"{n}_{tag}" for n in extra]])
 
-    schema = StructType(list(docs.schema.fields))
-    for n in names:
-        schema = schema.add(n, BooleanType() if n.startswith("emptied") else LongType())
-    out = with_drops.mapInArrow(cut, schema)
-    if report:
-        return out.select(*[out[c] for c in docs.columns], *[out[n].alias(e.split()[0]) for n, e in zip(names, extra)])
-    return out.select(*[out[c] for c in docs.columns])
+    schema = T.StructType(list(docs.schema.fields))
+    for n, kind in extra.items():
+        schema = schema.add(f"{n}_{tag}", kind)
+    out = touched.mapInArrow(cut, schema).unionAll(untouched)
+    return out.select(*own, *[F.col(f"{n}_{tag}").alias(n) for n in extra]) if report else out.select(*own)
 
 
 def without_repeats(docs: DataFrame, min_words: int = 8) -> DataFrame:
     """The rows with their texts less repeated lines; a row of which nothing is left goes."""
     out = dedup_lines(docs, min_words, report=True)
-    return out.filter(~F.col("emptied")).select(*docs.columns)
+    places = [f"c{i}" for i in range(len(out.columns))]  # by place, as a column of the table may have a name of the report
+    kept = out.toDF(*places).filter(~F.col(places[-1]))
+    return kept.select(*[F.col(p).alias(c) for p, c in zip(places, docs.columns)])
