@@ -88,4 +88,5 @@ def cache_key(q: Query) -> str:
     """Equal for queries of equal results apart from paging: tags are sorted, limit and cursor left out."""
     tags = ",".join(f"{k!r}={v!r}" for k, v in sorted(q.tags.items()))
     specs = ",".join(f"{s.function}({s.field!r})as{s.name!r}" for s in q.aggregations)
-    return "|".join([repr(q.metric), tags, str(q.start), str(q.end), str(q.relative), str(q.interval), specs, str(q.fill), "desc" if q.descending else "asc"])
+    forms = [str(q.fill), "desc" if q.descending else "asc", "null" if q.null_undefined else "nan", "approximate" if q.approximate else "exact"]
+    return "|".join([repr(q.metric), tags, str(q.start), str(q.end), str(q.relative), str(q.interval), specs, *forms])

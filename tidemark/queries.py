@@ -248,13 +248,13 @@ def tombstones_combined(spark, sf):
 # discovery
 
 
-@registered("show_metrics", "SELECT 'events' AS metric UNION ALL SELECT 'orders'")
+@registered("show_metrics", f"WITH {EVENTS}, {ORDERS} SELECT DISTINCT metric FROM (SELECT metric FROM p UNION ALL SELECT metric FROM o)")
 def show_metrics(spark, sf):
     both = tables.events(spark, sf).df.select("metric").unionByName(tables.orders(spark, sf).df.select("metric"))
     return catalog.show_metrics(PointView(both, {}, {}))
 
 
-@registered("show_tag_keys", "SELECT 'status' AS tag_key UNION ALL SELECT 'priority'")
+@registered("show_tag_keys", f"WITH {ORDERS} SELECT DISTINCT tag_key FROM (SELECT unnest([CASE WHEN status IS NOT NULL THEN 'status' END, CASE WHEN priority IS NOT NULL THEN 'priority' END]) AS tag_key FROM o) WHERE tag_key IS NOT NULL")
 def show_tag_keys(spark, sf):
     return catalog.show_tag_keys(tables.orders(spark, sf), "orders")
 
@@ -308,6 +308,8 @@ def shared_folder(spark: SparkSession) -> str:
     """A new folder under spark.checkpoint.dir, or where that is unset (a single machine) a temporary one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = f"file://{tempfile.gettempdir()}/tidemark"
     return os.path.join(base, uuid.uuid4().hex)
 
@@ -351,6 +353,9 @@ def replication_merge(spark, sf):
     return _orders_out(live.live_view(tables.keyed(view)))
 
 
+import tidemark.store_queries  # noqa: E402,F401  registers those that go through the engine
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: fn for k, (fn, _) in REGISTRY.items()}
 

@@ -14,13 +14,19 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.model import MUTATION, RANGE_TOMB, SERIES_TOMB, ValidationError
+from tidemark.operators.storage import StoredFile, readable
 
 TABLES = {"mutations": MUTATION, "series_tombs": SERIES_TOMB, "range_tombs": RANGE_TOMB}
+CODECS = ("none", "snappy", "lz4", "zstd")
 
 
 class Store:
-    def __init__(self, spark: SparkSession, root: str):
+    def __init__(self, spark: SparkSession, root: str, codec: str = "snappy"):
+        """codec: of files written from now on; files of any codec are read."""
+        if codec not in CODECS:
+            raise ValidationError(f"unknown compression {codec!r}")
         self.spark, self.root = spark, root.rstrip("/")
+        self.codec = "lz4_raw" if codec == "lz4" else codec
 
     def _path(self, *parts: str):
         return self.spark._jvm.org.apache.hadoop.fs.Path("/".join([self.root, *parts]))
@@ -56,21 +62,81 @@ class Store:
     def publish(self, folders: dict) -> None:
         self._put_text(json.dumps(folders), "manifests", f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}.json")
 
-    def read(self, table: str, folders: dict | None = None) -> DataFrame:
+    def _have(self, table: str, folders: dict | None = None) -> list[str]:
         fs = self._fs()
-        have = [f"{self.root}/{d}" for d in (folders or self.current())[table] if fs.exists(self._path(d))]
-        reader = self.spark.read.schema(TABLES[table])
-        return reader.parquet(*have) if have else self.spark.createDataFrame([], TABLES[table])
+        return [f"{self.root}/{d}" for d in (folders or self.current())[table] if fs.exists(self._path(d))]
+
+    def read(self, table: str, folders: dict | None = None) -> DataFrame:
+        have = self._have(table, folders)
+        return self.spark.read.schema(TABLES[table]).parquet(*have) if have else self.spark.createDataFrame([], TABLES[table])
+
+    def read_if_any(self, table: str) -> DataFrame | None:
+        """None where nothing was ever written, so that a plan needs no join with it."""
+        return self.read(table) if self._have(table) else None
 
     def append(self, table: str, df: DataFrame) -> None:
         folder = self.current()[table][-1]
-        df.select(*TABLES[table].names).write.mode("append").parquet(f"{self.root}/{folder}")
+        df.select(*TABLES[table].names).write.mode("append").option("compression", self.codec).parquet(f"{self.root}/{folder}")
+
+    def refuse(self, df: DataFrame) -> None:
+        """Keeps rows that were not taken, with their reason, under refused/ for a later look."""
+        df.write.mode("append").json(f"{self.root}/refused")
+
+    def staged(self, df: DataFrame) -> DataFrame:
+        """df written aside and read again, so that plans that use it twice see the same rows; `vacuum` removes it."""
+        path = f"{self.root}/staged/{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def files(self, table: str = "mutations") -> list[StoredFile]:
+        """The Parquet files that the current manifest names."""
+        fs, out = self._fs(), []
+        for folder in self.current()[table]:
+            p = self._path(folder)
+            for s in fs.listStatus(p) if fs.exists(p) else []:
+                if s.getPath().getName().endswith(".parquet"):
+                    out.append(StoredFile(s.getPath().toString(), s.getLen()))
+        return out
+
+    def unreadable(self, table: str = "mutations") -> list[str]:
+        """Files that cannot be decoded.  All are read at once; those that gave no row are then opened one by one, as a file may be empty."""
+        listed = {f.path.split("://")[-1].split(":")[-1].replace("//", "/"): f.path for f in self.files(table)}
+        if not listed:
+            return []
+        found = readable(self.spark, list(listed.values()), TABLES[table]).select("path").toLocalIterator()  # a name a file
+        good = {r["path"].split("://")[-1].split(":")[-1].replace("//", "/") for r in found}
+        return sorted(path for plain, path in listed.items() if plain not in good and not self._opens(path))
+
+    def _opens(self, path: str) -> bool:
+        try:
+            return self.spark.read.parquet(path).count() == 0
+        except Exception:  # the JVM's complaint about a file
+            return False
+
+    def quarantine(self, table: str = "mutations") -> list[str]:
+        """Moves unreadable files to quarantine/, from where none are read; returns their names."""
+        fs, out = self._fs(), []
+        for path in self.unreadable(table):
+            p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            fs.mkdirs(self._path("quarantine", table))
+            if not fs.rename(p, self._path("quarantine", table, p.getName())):
+                raise OSError(f"cannot move {path}")
+            out.append(p.getName())
+        return out
+
+    def vacuum(self) -> list[str]:
+        """Deletes folders that neither the newest manifest nor a snapshot names; no query that began before may still run."""
+        needed = {f for folders in [self.current(), *[s["folders"] for s in self.snapshots()]] for t in folders.values() for f in t}
+        gone = [f"{t}/{d}" for t in TABLES for d in self._ls(t) if f"{t}/{d}" not in needed] + [f"staged/{d}" for d in self._ls("staged")]
+        for folder in gone:
+            self._fs().delete(self._path(folder), True)
+        return gone
 
     def replace(self, mutations: DataFrame) -> None:
         """The log becomes these mutations, without tombstones."""
         tag = uuid.uuid4().hex
         folders = {t: [f"{t}/{tag}"] for t in TABLES}
-        mutations.select(*MUTATION.names).write.parquet(f"{self.root}/mutations/{tag}")
+        mutations.select(*MUTATION.names).write.option("compression", self.codec).parquet(f"{self.root}/mutations/{tag}")
         self.publish(folders)
 
     def max_seq(self) -> int:
@@ -87,9 +153,11 @@ class Store:
             return None
         after = parent["seq"] if parent and parent["folders"] == self.current() else -1
         name = name or f"{time.time_ns():020d}"
+        rows = {}
         for t in TABLES:
-            self.read(t).filter(f"seq > {after}").write.parquet(f"{self.root}/snapshots/{name}/{t}")
-        entry = {"name": name, "seq": top, "parent": parent["name"] if parent and after >= 0 else None, "folders": self.current()}
+            self.read(t).filter(f"seq > {after}").write.option("compression", self.codec).parquet(f"{self.root}/snapshots/{name}/{t}")
+            rows[t] = self.read(t, {t: [f"snapshots/{name}/{t}"]}).count()
+        entry = {"name": name, "seq": top, "parent": parent["name"] if parent and after >= 0 else None, "folders": self.current(), "rows": rows, "taken_ns": time.time_ns()}
         self._put_text(json.dumps(entry), "snapshots", name, "manifest.json")
         return name
 
@@ -125,10 +193,32 @@ class Store:
         self.publish({t: [f"snapshots/{p['name']}/{t}" for p in parts] + [f"{t}/{uuid.uuid4().hex}"] for t in TABLES})
         return name
 
-    def prune(self, keep: int) -> list[str]:
-        """Drops all but the newest keep snapshots and what those are built on or the current log reads."""
+    def validate(self, name: str) -> list[str]:
+        """What is wrong with a snapshot and those that it is built on; empty if it can be restored."""
+        try:
+            parts = self.chain(name)
+        except ValidationError as e:
+            return [str(e)]
+        wrong = []
+        for p in parts:
+            for t, n in p.get("rows", {}).items():
+                try:
+                    table = self.read(t, {t: [f"snapshots/{p['name']}/{t}"]})
+                    found, top = table.selectExpr("count(*)", "coalesce(max(seq), 0)", f"max(hash({', '.join(c for c in table.columns if c not in ('tags', 'fields'))}))").first()[:2]
+                except Exception as e:  # the JVM's complaint about a file
+                    wrong.append(f"{p['name']}/{t}: {str(e).splitlines()[0]}")
+                    continue
+                if found != n:
+                    wrong.append(f"{p['name']}/{t}: {found} rows instead of {n}")
+                if top > p["seq"]:
+                    wrong.append(f"{p['name']}/{t}: seq {top} beyond {p['seq']}")
+        return wrong
+
+    def prune(self, keep: int, older_than_ns: int | None = None) -> list[str]:
+        """Drops all but the newest keep snapshots, and what those are built on or the current log reads; with older_than_ns, only such as were taken before that time."""
         known = self.snapshots()
-        needed = {p["name"] for s in known[max(0, len(known) - keep):] for p in self.chain(s["name"])}
+        stay = known[max(0, len(known) - keep):] + [s for s in known if older_than_ns is not None and s.get("taken_ns", 0) >= older_than_ns]
+        needed = {p["name"] for s in stay for p in self.chain(s["name"])}
         needed |= {f.split("/")[1] for folders in self.current().values() for f in folders if f.startswith("snapshots/")}
         gone = [s["name"] for s in known if s["name"] not in needed]
         for name in gone:
