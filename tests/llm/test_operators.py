@@ -14,7 +14,6 @@ import xxhash
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-import corpus_pipeline
 from tidemark.llm import decontaminate, packing, quality, simhash, suffix_tree, token_counts, toxicity, url_filter, warc
 
 DOCS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("source", T.StringType()), T.StructField("row", T.StringType()), T.StructField("m", T.LongType()), T.StructField("h", T.LongType())])
@@ -148,6 +147,51 @@ def test_simhash(spark):
     assert simhash.near_duplicates(docs(spark).limit(0)).count() == 0
 
 
+def test_rows_without_id_bridge_groups(spark):
+    """Fingerprints that only rows without id have link those of others, and get their component's id."""
+    texts = {}
+    rng = random.Random(6)
+    base = [f"w{rng.randrange(30)}" for _ in range(120)]
+    while len(texts) < 400:
+        w = list(base)
+        for _ in range(rng.randint(0, 12)):
+            w[rng.randrange(120)] = f"n{rng.randrange(9)}"
+        texts.setdefault(brute_fingerprint(" ".join(w)), " ".join(w))
+    rows = [(None if i % 3 else 1000 - i, t) for i, t in enumerate(texts.values())] + [(None, "alone in here")]
+    assert got(simhash.near_duplicates(docs(spark, rows)), "doc_id", "fingerprint", "component_id") == brute_components(rows)
+
+
+def shingle_set(text, width=5):
+    w = (text or "").encode().lower().split()
+    return {tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} if w else set()
+
+
+def test_similar_documents(spark):
+    """Texts of a similarity of 0.85 or more are linked, those under 0.65 are not; in between is chance."""
+    rng, rows = random.Random(12), list(ODD)
+    for g in range(60):
+        base = [f"w{rng.randrange(3000)}" for _ in range(rng.randint(150, 400))]
+        for k in range(rng.randint(1, 4)):
+            w = list(base)
+            for _ in range(rng.choice([0, 1, 2, 4, 40])):
+                w[rng.randrange(len(w))] = f"x{rng.randrange(10**6)}"
+            rows.append((100 + 10 * g + k, " ".join(w)))
+    out = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(docs(spark, rows)).collect()}
+    sets = {i: shingle_set(t) for i, t in rows if i is not None}
+    near = far = found = 0
+    for i in sets:
+        for j in sets:
+            if i < j and (sets[i] or sets[j]):
+                s = len(sets[i] & sets[j]) / len(sets[i] | sets[j])
+                near += s >= 0.85
+                found += s >= 0.85 and out[i] == out[j]
+                far += s < 0.65 and out[i] == out[j]
+    assert near > 30 and found >= 0.9 * near and far == 0
+    kept = simhash.one_of_each_similar(docs(spark, rows))
+    ids = {r["doc_id"] for r in kept.collect()}
+    assert kept.columns == DOCS.names and ids == {c for d, c in out.items()} and simhash.similar_documents(docs(spark).limit(0)).count() == 0
+
+
 def test_simhash_large_trie(spark):
     """A trie that is cut into chunks links like one that is not."""
     rng = random.Random(4)
@@ -306,6 +350,8 @@ def test_quality(spark):
     assert (r["n_words"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == (66, 4, 1, 6)
     assert out.filter("doc_id = 7").first()["n_repeat_words"] == 18000 and quality.quality(docs(spark).limit(0)).count() == 0
     assert quality.keep(docs(spark, rows), most_failed=1.0).columns == DOCS.names and {r["doc_id"] for r in quality.keep(docs(spark, rows), most_failed=1.0).collect()} == {20, 22, None}
+    clash = docs(spark, rows).withColumnsRenamed({"row": "_rejected", "m": "a.b", "h": "base_failed"})
+    assert quality.keep(clash).columns == clash.columns and quality.keep(clash, most_failed=1.0).count() == 3 and quality.keep(clash.limit(0)).count() == 0
     many = docs(spark).select("doc_id", "text", "row").withColumn("source", F.lit("bad")).unionByName(docs(spark, [(90 + i, words) for i in range(40)]).select("doc_id", "text", "row").withColumn("source", F.lit("good"))).unionByName(
         docs(spark, [(99, words)]).select("doc_id", "text", "row").withColumn("source", F.lit("bad")))
     assert not quality.quality(many).filter("doc_id = 99 and base_failed").count() and {r["doc_id"] for r in quality.keep(many).collect()} >= {90, 120}
@@ -348,21 +394,3 @@ def test_warc(spark, tmp_path):
     assert Counter((r["record_id"], len(r["payload"])) for r in other.collect()) == Counter({(f"<r{i}>", i * 9999): 2 for i in range(12)})
     warc.archive(pages.limit(0), f"file://{tmp_path}/none")
     assert warc.contents(spark, f"file://{tmp_path}/none").count() == 0
-
-
-def test_pipeline(spark):
-    sf = "/root/testdata/sf0.001"
-    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "line_dedup", "simhash_near_dedup", "decontamination", "packing"]
-    table = spark.read.parquet(f"{sf}/documents.parquet")
-    stage = table
-    for name, f in corpus_pipeline.STAGES[:-1]:
-        out = f(spark, stage, sf)
-        assert out.columns == table.columns, name
-        ids = {r["doc_id"] for r in out.select("doc_id").collect()}
-        assert ids <= {r["doc_id"] for r in stage.select("doc_id").collect()}
-        stage = corpus_pipeline.stored(out, "test")
-    fps = [brute_fingerprint(r["text"]) for r in stage.collect()]
-    assert all((a ^ b).bit_count() > 3 for i, a in enumerate(fps) for b in fps[:i])
-    packed = corpus_pipeline.run(spark, sf)
-    assert {r["doc_id"] for r in packed.select("doc_id").collect()} == {r["doc_id"] for r in stage.collect()}
-    assert corpus_pipeline.STAGES[2][1](spark, table.limit(0), sf).count() == 0

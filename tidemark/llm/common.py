@@ -82,6 +82,16 @@ class Sieve:
         return self.mark(df, "_passed", *columns).filter("_passed").drop("_passed")
 
 
+def rows_without(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
+    """The rows whose id (null too) is not in ids (one column); only rows that a sieve names meet ids in a join, the others pass by."""
+    tag = uuid.uuid4().hex[:8]  # of column names that no table has
+    may, own = f"may_{tag}", [named(c) for c in docs.columns]
+    ids = stored(ids.toDF(f"id_{tag}").distinct(), "ids")
+    marked = Sieve(ids, f"id_{tag}").mark(docs, may, named(id_col))
+    rest = marked.filter(F.col(may)).join(ids, named(id_col).eqNullSafe(F.col(f"id_{tag}")), "left_anti")
+    return marked.filter(~F.col(may)).select(*own).unionAll(rest.select(*own))
+
+
 def named(column: str) -> Column:
     """The column of that very name, dots and backticks included."""
     return F.col("`" + column.replace("`", "``") + "`")

@@ -16,7 +16,6 @@ match nothing; repeated rows are each answered.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import slices, utf8
+from tidemark.llm.common import rows_without, slices, utf8
 
 #: Bytes of test text that one block of the test set may have.
 BLOCK_BYTES = 16 << 20
@@ -239,9 +238,4 @@ def merged(spans: list[tuple[int, int]]) -> list[int]:
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     """The rows whose doc_id no contaminated text has; rows without id count as one document here."""
-    bad = contamination(docs, benchmark, window).filter("contaminated").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_id"]), "left_anti")
-
-
-def sha256_of(items: list[str]) -> str:
-    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
+    return rows_without(docs, contamination(docs, benchmark, window).filter("contaminated").select("doc_id"), "doc_id")

@@ -204,11 +204,13 @@ def dedup_lines(docs: DataFrame, min_words: int = 8, id_col: str = "doc_id", tex
             more = [pa.array(n_lines, pa.int64()), pa.array(n_equal, pa.int64()), pa.array(n_near, pa.int64()), pa.array(emptied, pa.bool_())]
             yield pa.RecordBatch.from_arrays([*columns, *more], [*part.schema.names[:-1], *[f"{n}_{tag}" for n in extra]])
 
-    schema = T.StructType(list(docs.schema.fields))
+    places = [f"c{i}" for i in range(len(own))]  # columns by place, whatever their names
+    schema = T.StructType([T.StructField(p, f.dataType, f.nullable) for p, f in zip(places, docs.schema.fields)])
     for n, kind in extra.items():
         schema = schema.add(f"{n}_{tag}", kind)
-    out = touched.mapInArrow(cut, schema).unionAll(untouched)
-    return out.select(*own, *[F.col(f"{n}_{tag}").alias(n) for n in extra]) if report else out.select(*own)
+    out = touched.toDF(*places, drop).mapInArrow(cut, schema).unionAll(untouched)
+    back = [F.col(p).alias(c) for p, c in zip(places, docs.columns)]
+    return out.select(*back, *([F.col(f"{n}_{tag}").alias(n) for n in extra] if report else []))
 
 
 def without_repeats(docs: DataFrame, min_words: int = 8) -> DataFrame:

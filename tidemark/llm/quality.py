@@ -7,7 +7,8 @@ rate exceeds `most_failed` go too.
 
 Null texts have no words and fail; a null host is a host of its own; repeated rows count as
 often as they come.  Window repeats are found by sorting a text's window hashes with their
-positions, so the cost of a long text is that of a sort.
+positions, so the cost of a long text is that of a sort.  An empty table gives an empty one; hosts' ties don't matter, as
+verdicts are by rate alone.  `keep` returns the table's own columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import stored
+from tidemark.llm.common import named, stored
 
 #: Host tables of at most so many rows are broadcast; larger ones are joined by host.
 BROADCAST_HOSTS = 500_000
@@ -107,7 +108,7 @@ def _with_verdict(rows: DataFrame, hosts: DataFrame) -> DataFrame:
 
 
 def _host(host_col: str) -> Column:
-    return F.coalesce(F.concat(F.lit("h"), F.col(host_col)), F.lit(""))
+    return F.coalesce(F.concat(F.lit("h"), named(host_col)), F.lit(""))
 
 
 def quality(docs: DataFrame, least_words: int = 50, most_failed: float = 0.5, host_col: str = "source") -> DataFrame:
@@ -118,9 +119,11 @@ def quality(docs: DataFrame, least_words: int = 50, most_failed: float = 0.5, ho
 
 
 def keep(docs: DataFrame, least_words: int = 50, most_failed: float = 0.5, host_col: str = "source") -> DataFrame:
-    """The rows that are kept, by their own text's measures and their host's verdict."""
+    """The rows that are kept, by their own text's measures and their host's verdict.  Texts are measured once; those that pass are written meanwhile."""
     failed = measures(F.col("text"), least_words)["base_failed"]
-    hosts = host_verdicts(docs.select(_host(host_col).alias("host"), failed.alias("base_failed")), most_failed)
-    rejected = hosts.filter(~F.col("host_kept")).select(F.col("host").alias("_rejected"))
+    row = F.struct(*[named(c).alias(f"c{i}") for i, c in enumerate(docs.columns)])  # by place: whatever a column is called
+    judged = stored(docs.select(_host(host_col).alias("host"), _let(failed, lambda f: F.struct(f.alias("failed"), F.when(~f, row).alias("row"))).alias("m")).select("host", F.col("m.failed").alias("base_failed"), "m.row"), "judged")
+    rejected = host_verdicts(judged, most_failed).filter(~F.col("host_kept")).select(F.col("host").alias("_host"))
     side = F.broadcast(rejected) if rejected.count() <= BROADCAST_HOSTS else rejected
-    return docs.filter(~failed).join(side, _host(host_col) == F.col("_rejected"), "left_anti")
+    kept = judged.filter(~F.col("base_failed")).join(side, F.col("host") == F.col("_host"), "left_anti")
+    return kept.select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)])
