@@ -2,6 +2,10 @@
 
 Every stage reads what the one before has kept, written as Parquet; all but the last return
 documents' columns.  Part of the tidemark.llm subpackage, whose fate it shares.
+
+In every stage: null texts have no words, so quality rules drop them, and later stages leave them as they are; an empty table
+gives an empty one; rows of one id (and rows without) are one document, which goes or stays; of equals the smallest id stays; extra
+columns are kept whatever their names; very long texts are taken whole, a row at a time.
 """
 
 from __future__ import annotations
@@ -23,8 +27,8 @@ def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id."""
-    return simhash.one_of_each_group(docs)
+    """Of each group of texts whose sets of five-word shingles have a similarity of 0.8 or more, the document with the smallest id."""
+    return simhash.one_of_each_similar(docs, similarity=0.8, width=5)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
