@@ -14,7 +14,9 @@ import xxhash
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.llm import queries as llm_queries
 from tidemark.llm import decontaminate, packing, quality, simhash, suffix_tree, token_counts, toxicity, url_filter, warc
+from tidemark.llm.common import Kept
 
 DOCS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("source", T.StringType()), T.StructField("row", T.StringType()), T.StructField("m", T.LongType()), T.StructField("h", T.LongType())])
 ODD = [(1, None), (2, ""), (3, " \n\t"), (4, "One two THREE four"), (4, "One two THREE four"), (5, "one two three four"), (6, "é <|endoftext|> 中文 \x1c x"), (None, "one two three four"), (7, "a b " * 9000), (8, "word")]
@@ -47,6 +49,18 @@ def test_token_counts(spark):
         assert count(s) == len(lib.encode(s, add_special_tokens=False).ids), s
 
 
+def test_long_pieces_are_not_kept():
+    counter = token_counts.TokenCounter(public_tokenizers.path("byte_bpe_50k.json"))
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    for text in ("x" * 100_000, "ab1" * 60_000, " ".join("qwertz" * 40 + str(i) for i in range(500)), "short words of a text"):
+        assert counter.count(text) == len(lib.encode(text, add_special_tokens=False).ids)
+    assert max(map(len, counter.words)) <= 128 and max(map(len, counter.pieces)) <= 128
+    kept = Kept(lambda k: k.upper(), room=10_000)
+    assert all(kept[str(i)] == str(i) for i in range(1000)) and len(kept) < 60
+
+
 def test_packing(spark):
     from tokenizers import Tokenizer
 
@@ -394,3 +408,57 @@ def test_warc(spark, tmp_path):
     assert Counter((r["record_id"], len(r["payload"])) for r in other.collect()) == Counter({(f"<r{i}>", i * 9999): 2 for i in range(12)})
     warc.archive(pages.limit(0), f"file://{tmp_path}/none")
     assert warc.contents(spark, f"file://{tmp_path}/none").count() == 0
+
+
+def test_registered_queries_without_sql(spark):
+    """The thin queries over the whole smallest tables, against the libraries and plain Python."""
+    from test_line_dedup import brute
+    from tokenizers import Tokenizer
+
+    sf = "/root/testdata/sf0.001"
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    run = {name: [r.asDict() for r in llm_queries.queries()[name](spark, sf).collect()] for name in ("op1_lm_score", "op3_line_dedup", "op5_toxicity", "op6_simhash", "op9_packing", "op10_token_counts")}
+    lib = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    counts = {i: len(lib.encode(t or "", add_special_tokens=False).ids) for i, t in rows}
+    assert {r["doc_id"]: (r["n_bytes"], r["n_tokens"], r["over_limit"]) for r in run["op10_token_counts"]} == {i: (len((t or "").encode()), counts[i], counts[i] > 512) for i, t in rows}
+    lib = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    n_ids = {i: len(lib.encode(t or "", add_special_tokens=False).ids) + 1 for i, t in rows}
+    total = Counter()
+    for r in run["op9_packing"]:
+        total[r["doc_id"]] += r["length"]
+    assert total == n_ids
+    assert sorted(((r["doc_id"], r["fingerprint"], r["component_id"]) for r in run["op6_simhash"]), key=repr) == brute_components(rows)
+    gone = brute(rows)
+    for r in run["op3_line_dedup"]:
+        text = dict(rows)[r["doc_id"]]
+        lines = text.split("\n") if text is not None else []
+        mine = {k: near for (d, k), near in gone.items() if d == r["doc_id"]}
+        left = None if text is None else "\n".join(x for k, x in enumerate(lines) if k not in mine)
+        near = sum(mine.values())
+        want = (len(lines), len(mine) - near, near, bool(mine) and not left.encode().split(), left if left is None else hashlib.sha256(left.encode()).hexdigest())
+        assert (r["n_lines"], r["n_equal"], r["n_near"], r["emptied"], r["kept_sha256"]) == want, r["doc_id"]
+    words = {i: [*(t or "").encode().lower().split(), "end"] for i, t in rows}
+    c = Counter(w for i, ws in words.items() if not held(i, 5, 1) for w in ws)
+    n, v = sum(c.values()), len(c)
+    for r in run["op1_lm_score"]:
+        ws = words[r["doc_id"]]
+        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held(r["doc_id"], 5, 1), len(ws), sum(c[w] > 0 for w in ws), n)
+        assert r["base_score"] == pytest.approx(sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in ws)) and r["score"] < 0
+    assert len(run["op5_toxicity"]) == len(rows) and all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.7) and r["held_out"] == held(r["doc_id"], 3, 1) for r in run["op5_toxicity"])
+
+
+def test_priors_and_extremes():
+    """Rates shrunk by hand; lambda as the root of its equation; K as its estimate."""
+    seen, by = toxicity.learn({b"abcdef": (6.0, 2.0)}, {b"abcd": (6.0, 2.0), b"abcde": (6.0, 2.0)}, 0.1)
+    four = (6 + 12 * 0.1) / 20
+    five = (6 + 12 * four) / 20
+    word = (6 + 4 * five) / 12
+    odds = lambda p: math.log(p / (1 - p)) - math.log(0.1 / 0.9) - toxicity.DRIFT
+    assert by == pytest.approx({b"abcd": odds(four), b"abcde": odds(five)}) and seen == pytest.approx({b"abcdef": odds(word)})
+    x = toxicity.Extremes({-2.0: 90, 1.0: 9, 3.0: 1}, [(100, 2.0), (50, 1.0), (0, 5.0)])
+    assert 0.9 * math.exp(-2 * x.rate) + 0.09 * math.exp(x.rate) + 0.01 * math.exp(3 * x.rate) == pytest.approx(1) and x.rate > 0.01
+    assert x.k == pytest.approx(2 / (100 * math.exp(-2 * x.rate) + 50 * math.exp(-x.rate)))
+    assert x.log_e(4.0, 70) == pytest.approx(math.log(x.k * 70 * math.exp(-4 * x.rate)))
+    a, b = toxicity.logistic(np.array([0.0, 1, 2, 3, 4, 5]), np.array([0.0, 0, 1, 0, 1, 1]))
+    p = 1 / (1 + np.exp(-(a + b * np.arange(6))))
+    assert b > 0 and (p - [0, 0, 1, 0, 1, 1]).sum() == pytest.approx(0, abs=0.01)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -97,6 +97,29 @@ def named(column: str) -> Column:
     return F.col("`" + column.replace("`", "``") + "`")
 
 
+class Kept(dict):
+    """Values by a key of text or bytes, computed by `compute` where missing; starts anew at `room` bytes of keys and values.
+
+    Keys of more than `longest` bytes or characters are computed each time: what is that long seldom comes again.
+    """
+
+    def __init__(self, compute: Callable, room: int = 48 << 20, longest: int = 128, known: dict | None = None):
+        super().__init__(known or {})
+        self.compute, self.room, self.longest, self.known, self.used = compute, room, longest, known or {}, 0
+
+    def __missing__(self, key):
+        value = self.compute(key)
+        if len(key) <= self.longest:
+            # an entry of the table, the two objects, and what is in them
+            self.used += 200 + len(key) + (len(value) if isinstance(value, bytes) else 0)
+            if self.used > self.room:
+                self.clear()
+                self.update(self.known)
+                self.used = 0
+            self[key] = value
+        return value
+
+
 def crc32_of_id(doc_id: str = "doc_id") -> Column:
     """crc32 of the id's text; a null id counts as 0."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(0))

@@ -1,29 +1,36 @@
-"""Benchmark decontamination over a positional inverted index.
+"""Benchmark decontamination over a distributed positional inverted index.
 
-The index is partitioned by document, as the corpus is: each block of documents keeps,
-for every term of the test set, the sorted positions at which the block has it, all
-documents laid end to end with a gap between them.  A phrase starts from the list of
-its rarest term in the block; the lists of its other terms, rarest first, are
-intersected with it after the terms' offsets are taken off, and an empty intersection
-ends the phrase.  What is left are the exact starts, so nothing is shuffled but results.
+The corpus is read once.  Each block of documents (bounded bytes, laid end to end with a gap between them) stores a
+posting list for each of its terms: the positions at which it stands, packed.  The index is a table in the
+shared folder, so that further test sets don't read the corpus again.
+
+A search joins the index with the terms of the test set, which are broadcast in blocks of bounded bytes, so that only
+their lists are shuffled, and adds up their counts over the corpus.  The lists of a block meet in a task: a phrase
+starts from the list of its rarest term of the corpus; the lists of its other terms, rarest first, are intersected with it after
+the terms' offsets are taken off, and an empty intersection ends the phrase.  What is left are the exact starts.
+Lists of a frequent term are cut by block, so none is long, and a block's lists are bounded by its bytes (or one text).
 
 Proximity: the same lists, with up to `slop` further words between neighbouring terms.
 
 The test set is read in blocks of bounded text, each broadcast, so that it may outgrow
 a task's memory.  Null and empty texts have no words and no hits; items without words
-match nothing; repeated rows are each answered.
+match nothing; repeated rows are each answered; an empty table gives an empty one, and with an empty test set nothing is hit.
+Other columns of either table are not read, whatever their names.
 """
 
 from __future__ import annotations
 
+import itertools
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import rows_without, slices, utf8
+from tidemark.llm.common import named, rows_without, slices, stored, utf8
 
 #: Bytes of test text that one block of the test set may have.
 BLOCK_BYTES = 16 << 20
@@ -50,41 +57,61 @@ class Phrases:
             ids = [self.terms.setdefault(w, len(self.terms)) for w in words(text)]
             for at in range(max(1, len(ids) - window + 1) if ids else 0):
                 by.setdefault(tuple(ids[at : at + window]), set()).add(k)
+        self.order: dict[int, np.ndarray] = {}
         # by length: the phrases as rows, and the items of each
         self.by_length: dict[int, tuple[np.ndarray, list[list[int]]]] = {}
         for n in sorted({len(p) for p in by}):
             self.by_length[n] = np.array([p for p in by if len(p) == n], np.int64), [sorted(o) for p, o in by.items() if len(p) == n]
 
+    def by_rarity(self, counts: np.ndarray) -> None:
+        """order: for each length, the places of each phrase's terms, the rarest of the corpus first."""
+        self.order = {n: np.argsort(counts[rows], axis=1, kind="stable") for n, (rows, _) in self.by_length.items()}
+
+
+def packed(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each value in as many bytes of seven bits as it needs, the last one below 128; all bytes, and each value's number of them."""
+    size = np.ones(len(values), np.int64)
+    for bits in (7, 14, 21, 28):
+        size += values >= 1 << bits
+    at = np.cumsum(size) - size
+    out = np.empty(int(size.sum()), np.uint8)
+    for k in range(5):
+        some = size > k
+        out[at[some] + k] = values[some] >> 7 * k & 127 | np.where(size[some] > k + 1, 128, 0)
+    return out, size
+
+
+def unpacked(data: np.ndarray) -> np.ndarray:
+    """The values of packed."""
+    if not len(data):
+        return np.zeros(0, np.int64)
+    ends = np.flatnonzero(data < 128) + 1
+    starts = np.concatenate([[0], ends[:-1]])
+    nth = np.arange(len(data)) - np.repeat(starts, ends - starts)
+    return np.add.reduceat((data & 127).astype(np.int64) << 7 * nth, starts)
+
 
 class Postings:
-    """Positions by term in a block of documents."""
-
-    def __init__(self, texts: list[bytes], terms: dict[bytes, int], gap: int):
-        tokens: list[int] = []
-        self.starts, lengths = [], []
-        get, nothing = terms.get, [-1] * gap
-        for t in texts:
-            self.starts.append(len(tokens))
-            ids = [get(w, -1) for w in words(t)]
-            lengths.append(len(ids))
-            tokens += ids
-            tokens += nothing  # no phrase spans two documents
-        self.starts, self.lengths, self.size = np.array(self.starts, np.int64), np.array(lengths, np.int64), len(tokens)
-        ids = np.array(tokens, np.int32)
-        known = np.flatnonzero(ids >= 0)
-        order = np.argsort(ids[known], kind="stable")
-        self.positions = known[order]
-        self.bounds = np.searchsorted(ids[known][order], np.arange(len(terms) + 1))
+    """Positions by term in a block of documents, of terms numbered from 0 on."""
+
+    def __init__(self, terms: np.ndarray, counts: np.ndarray, positions: np.ndarray, n_terms: int, size: int):
+        """terms: those that the block has, with their counts; positions: theirs, one term after the other."""
+        order = np.argsort(np.repeat(terms, counts), kind="stable")
+        self.positions, self.size = positions[order], size
+        by = np.zeros(n_terms, np.int64)
+        by[terms] = counts
+        self.bounds = np.concatenate([[0], np.cumsum(by)])
 
     def of(self, term: int) -> np.ndarray:
         return self.positions[self.bounds[term] : self.bounds[term + 1]]
 
-    def exact(self, phrases: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(phrase, start) of every match of the rows of phrases, terms of equally long ones; all phrases step together."""
+    def exact(self, phrases: np.ndarray, order: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(phrase, start) of every match of the rows of phrases, terms of equally long ones; all phrases step together.
+
+        order: the places of each phrase's terms, the rarest in the corpus first.
+        """
         counts = np.diff(self.bounds)
-        sizes = counts[phrases]
-        order = np.argsort(sizes, axis=1, kind="stable")
-        rarest = np.take_along_axis(sizes, order[:, :1], 1)[:, 0]
+        rarest = np.take_along_axis(counts[phrases], order[:, :1], 1)[:, 0]
         alive = np.flatnonzero(rarest)
         keys = np.repeat(np.arange(len(counts)), counts) * self.size + self.positions  # sorted: all lists as one
         # rounds of bounded size
@@ -147,27 +174,85 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list
     yield block
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, slop: int | None = None, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
-    """doc_id, n_words, n_hit (words inside a match), n_items, items (sorted), items_sha256, contaminated for each row.
+class Index:
+    """A stored positional inverted index, to be searched for any number of test sets.
+
+    postings: block, term, n, at (packed: its first position, then the steps to the next ones) for each term of each block of documents.
+    places: row, doc_id, block, start, length (words) of each document; all documents of a block lie end to end with `gap` between them.
+    """
+
+    def __init__(self, docs: DataFrame, gap: int = 64, id_col: str = "doc_id", text_col: str = "text"):
+        docs = docs.select(named(id_col).alias("doc_id"), utf8(text_col).alias("text"))
+        self.gap, self.kind = gap, docs.schema["doc_id"].dataType.simpleString()
+        shape = f"block long, term binary, n int, at binary, row long, doc_id {self.kind}, start long, length long"
+        self.stored = stored(docs.mapInArrow(_indexer(gap), shape), "index")
+        self.postings = self.stored.filter("term IS NOT NULL").select("block", "term", "n", "at")
+        self.places = self.stored.filter("row IS NOT NULL").select("row", "doc_id", "block", "start", "length")
+
+
+def _indexer(gap: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        block = TaskContext.get().partitionId() << 32
+        row = TaskContext.get().partitionId() << 40
+        names = ["block", "term", "n", "at", "row", "doc_id", "start", "length"]
+        for part in _sized(batches):
+            number = itertools.count()
+            vocabulary: dict[bytes, int] = defaultdict(number.__next__)
+            runs = [np.fromiter(map(vocabulary.__getitem__, w), np.int32, len(w)) for w in map(words, part.column(1).to_pylist())]
+            length = np.array([len(r) for r in runs], np.int64)
+            start = np.cumsum(length + gap) - length - gap
+            ids = np.concatenate(runs)
+            positions = np.arange(len(ids)) + np.repeat(start - (np.cumsum(length) - length), length)
+            order = np.argsort(ids, kind="stable")
+            ids, positions = ids[order], positions[order]
+            counts = np.bincount(ids, minlength=len(vocabulary))
+            first = np.cumsum(counts) - counts
+            steps = np.diff(positions, prepend=0)
+            steps[first] = positions[first]
+            data, size = packed(steps)
+            ends = np.cumsum(np.add.reduceat(size, first)) if len(first) else np.zeros(0, np.int64)
+            at = pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(np.concatenate([[0], ends]).astype(np.int32).tobytes()), pa.py_buffer(data.tobytes())])
+            terms, n = pa.array(list(vocabulary), pa.binary()), part.num_rows
+            none = lambda kind, n: pa.nulls(n, kind)
+            for lo in range(0, len(counts), 1 << 15):
+                some = slice(lo, lo + (1 << 15))
+                k = len(counts[some])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(k, block)), terms[some], pa.array(counts[some].astype(np.int32)), at[some], none(pa.int64(), k), none(part.column(0).type, k), none(pa.int64(), k), none(pa.int64(), k)], names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), none(pa.binary(), n), none(pa.int32(), n), none(pa.binary(), n), pa.array(np.arange(row, row + n)), part.column(0), pa.array(start), pa.array(length)], names)
+            block, row = block + 1, row + n
+
+    return run
+
+
+def search(index: Index, benchmark: DataFrame, window: int = 10, slop: int | None = None, item_col: str = "item_id") -> DataFrame:
+    """doc_id, n_words, n_hit (words inside a match), n_items, items (sorted), items_sha256, contaminated for each document of the index.
 
     slop None: exact phrases; else proximity matches with that many further words between neighbours.
     """
-    spark = docs.sparkSession
-    # a row's place in its scan: the same for every block of the test set
-    docs = docs.select(F.col(id_col).alias("doc_id"), utf8(text_col).alias("text"), F.monotonically_increasing_id().alias("row"))
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    shape = f"row long, doc_id {kind}, n_words long, hits array<long>, items array<string>"
+    spark = benchmark.sparkSession
+    if window + (slop or 0) > index.gap:
+        raise ValueError("windows of more words than the index keeps between documents")
+    shape = f"row long, doc_id {index.kind}, n_words long, hits array<long>, items array<string>"
     found = []
     for block in _blocks(benchmark, item_col, "text"):
-        shared = spark.sparkContext.broadcast(Phrases(block, window))
-        found.append(docs.mapInArrow(_matcher(shared, window, slop), shape))
-    if len(found) > 1:  # the blocks' answers of one document meet by its place in the input
-        many = found[0]
+        phrases = Phrases(block, window)
+        terms = spark.createDataFrame([(bytearray(t), i) for t, i in phrases.terms.items()], "term binary, id int")  # bounded by the block's bytes
+        mine = index.postings.join(F.broadcast(terms), "term").select("block", "id", "n", "at")
+        counts = np.zeros(len(phrases.terms), np.int64)
+        for r in mine.groupBy("id").agg(F.sum("n").alias("n")).collect():  # a number a term
+            counts[r["id"]] = r["n"]
+        phrases.by_rarity(counts)
+        blank = [F.lit(None).cast(t).alias(c) for c, t in (("row", "long"), ("doc_id", index.kind), ("start", "long"), ("length", "long"))]
+        here = index.places.select("block", *[F.lit(None).cast(t).alias(c) for c, t in (("id", "int"), ("n", "int"), ("at", "binary"))], "row", "doc_id", "start", "length")
+        together = mine.select("block", "id", "n", "at", *blank).unionByName(here).repartition("block").sortWithinPartitions("block")
+        found.append(together.mapInArrow(_matcher(spark.sparkContext.broadcast(phrases), index.gap, slop), shape))
+    many = found[0]
+    if len(found) > 1:  # the blocks' answers of one document meet by its row
         for f in found[1:]:
             many = many.unionByName(f)
         many = many.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("hits")).alias("hits"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
-    else:
-        many = found[0]
     many = many.withColumn("items", F.array_sort("items")).withColumn("n_hit", F.expr(_COVERED))
     return many.select(
         "doc_id", "n_words", F.col("n_hit").cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"), "items",
@@ -175,6 +260,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, slop:
     )
 
 
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, slop: int | None = None, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
+    """search of an index that is made for it."""
+    return search(Index(docs, max(64, window + (slop or 0)), id_col, text_col), benchmark, window, slop, item_col)
+
+
 #: Words covered by hits, an array of start * 2^31 + length that may overlap.
 _COVERED = """aggregate(array_sort(hits), named_struct('n', 0L, 'end', 0L),
   (s, h) -> named_struct('n', s.n + greatest(0L, (h div 2147483648L) + (h % 2147483648L) - greatest(s.end, h div 2147483648L)),
@@ -193,34 +283,56 @@ def _sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at += n
 
 
-def _matcher(shared, window: int, slop: int | None):
+def _matcher(shared, gap: int, slop: int | None):
+    def answer(rows: pa.Table, phrases: Phrases) -> pa.RecordBatch:
+        """Of all rows of a block."""
+        of_term = rows.filter(pc.is_valid(rows.column("id")))
+        docs = rows.filter(pc.is_valid(rows.column("row"))).sort_by("start")
+        data = np.frombuffer(b"".join(of_term.column("at").to_pylist()), np.uint8)
+        counts = of_term.column("n").to_numpy().astype(np.int64)
+        steps, first = unpacked(data), np.cumsum(counts) - counts
+        total = np.cumsum(steps)
+        positions = total - np.repeat(total[first] - steps[first], counts)
+        starts, lengths = docs.column("start").to_numpy(), docs.column("length").to_numpy()
+        index = Postings(of_term.column("id").to_numpy(), counts, positions, len(phrases.terms), int(starts[-1] + lengths[-1]) + gap)
+        spans: list[list[tuple[int, int]]] = [[] for _ in starts]
+        items: list[set[int]] = [set() for _ in starts]
+
+        def hit(owners: list[int], start: int, end: int) -> None:
+            d = int(np.searchsorted(starts, start, "right")) - 1
+            spans[d].append((int(start - starts[d]), int(end - start)))
+            items[d].update(owners)
+
+        for length, (rows_of, owners) in phrases.by_length.items():
+            if slop is None:
+                for which, at in index.exact(rows_of, phrases.order[length]):
+                    for w, start in zip(which.tolist(), at.tolist()):
+                        hit(owners[w], start, start + length)
+            else:
+                for w, phrase in enumerate(rows_of):
+                    for start, end in index.near(phrase, slop).tolist():
+                        hit(owners[w], start, end)
+        names = phrases.items
+        docs = docs.combine_chunks()
+        return pa.RecordBatch.from_arrays([
+            docs.column("row").combine_chunks(), docs.column("doc_id").combine_chunks(), docs.column("length").combine_chunks(),
+            pa.array([merged(s) for s in spans], pa.list_(pa.int64())), pa.array([[names[i] for i in sorted(s)] for s in items], pa.list_(pa.string())),
+        ], ["row", "doc_id", "n_words", "hits", "items"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         phrases: Phrases = shared.value
-        for part in _sized(batches):
-            index = Postings(part.column(1).to_pylist(), phrases.terms, window + (slop or 0))
-            n = part.num_rows
-            spans: list[list[tuple[int, int]]] = [[] for _ in range(n)]
-            items: list[set[int]] = [set() for _ in range(n)]
-
-            def hit(owners: list[int], start: int, end: int) -> None:
-                d = int(np.searchsorted(index.starts, start, "right")) - 1
-                spans[d].append((int(start - index.starts[d]), int(end - start)))
-                items[d].update(owners)
-
-            for length, (rows, owners) in phrases.by_length.items():
-                if slop is None:
-                    for which, starts in index.exact(rows):
-                        for w, at in zip(which.tolist(), starts.tolist()):
-                            hit(owners[w], at, at + length)
-                else:
-                    for w, phrase in enumerate(rows):
-                        for at, end in index.near(phrase, slop).tolist():
-                            hit(owners[w], at, end)
-            names = phrases.items
-            yield pa.RecordBatch.from_arrays([
-                part.column(2), part.column(0), pa.array(index.lengths),
-                pa.array([merged(s) for s in spans], pa.list_(pa.int64())), pa.array([[names[i] for i in sorted(s)] for s in items], pa.list_(pa.string())),
-            ], ["row", "doc_id", "n_words", "hits", "items"])
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            blocks = batch.column(0).to_numpy()
+            cuts = [0, *(np.flatnonzero(blocks[1:] != blocks[:-1]) + 1).tolist(), len(blocks)]
+            for lo, hi in zip(cuts, cuts[1:]):
+                if held and hi > lo and held[-1].column(0)[0].as_py() != blocks[lo]:
+                    yield answer(pa.Table.from_batches(held), phrases)
+                    held = []
+                if hi > lo:
+                    held.append(batch.slice(lo, hi - lo))
+        if held:
+            yield answer(pa.Table.from_batches(held), phrases)
 
     return run
 

@@ -12,7 +12,9 @@ them, so the plan is made on the table of counts by length, whatever the corpus
    ranked by many tasks; the rank picks its place in the plan.
 
 Null and empty texts have the closing id alone.  Rows with equal doc_id are separate
-documents of that id; equal rows may take each other's places.
+documents of that id; equal rows may take each other's places, and so may pieces of one length.  An empty table gives no piece.  Other
+columns are not read, whatever their names.  A very long text costs four bytes a token in its task; ids are kept for
+words that come again, within a bound in bytes.
 """
 
 from __future__ import annotations
@@ -29,16 +31,14 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import slices, stored, utf8
+from tidemark.llm.common import Kept, named, slices, stored, utf8
 from tidemark.llm.token_counts import WS, byte_symbols
 
-#: Token ids kept by a Python worker for words met before; beyond that it starts anew.
-CACHE = 600_000
-#: Tasks that may rank the pieces of one length.
-SALTS = 256
+#: Pieces of one length that a task ranks, about.
+RANKED = 500_000
 
 
-class WordTokens(dict):
+class WordTokens(Kept):
     """The ids (little-endian unsigned 32-bit) of texts between white space, by the tokenizer's own model.
 
     No pre-token of this tokenizer spans white space, so a text's ids are those of its words in a row.
@@ -48,24 +48,19 @@ class WordTokens(dict):
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        super().__init__()
+        super().__init__(self.of_word, room=128 << 20)
         self.library = Tokenizer.from_file(path)
         self.model = self.library.model
         self.pattern = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{WS}\p{{L}}\p{{N}}]+")
         self.bytes = byte_symbols()
         self.simple = regex.compile(r"[\x21-\x7e\xa1-įı-ɏ]+\Z")
 
-    def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= CACHE:
-            self.clear()
+    def of_word(self, word: bytes) -> bytes:
         if word.isalpha():  # ASCII letters: one pre-token
-            out = self._ids(word.decode().lower())
-        elif word[-1:] in b".,!?|" and word[-2:-1].isalnum():  # a mark after a letter or digit is a pre-token of its own
-            out = self[word[:-1]] + self[word[-1:]]
-        else:
-            out = self._other(word)
-        self[word] = out
-        return out
+            return self._ids(word.decode().lower())
+        if word[-1:] in b".,!?|" and word[-2:-1].isalnum():  # a mark after a letter or digit is a pre-token of its own
+            return self[word[:-1]] + self[word[-1:]]
+        return self._other(word)
 
     def _ids(self, *mapped: str) -> bytes:
         ids = [t.id for piece in mapped for t in self.model.tokenize(piece)]
@@ -92,7 +87,7 @@ def word_tokens(path: str) -> WordTokens:
 
 def pieces(docs: DataFrame, path: str, capacity: int, close_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every piece."""
-    docs = docs.select(F.col(id_col).alias("doc_id"), utf8(text_col).alias("text"))
+    docs = docs.select(named(id_col).alias("doc_id"), utf8(text_col).alias("text"))
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
     end = np.array([close_id], "<u4").tobytes()
 
@@ -247,8 +242,10 @@ def make_plan(counts: dict[int, int], capacity: int) -> Plan:
 def pack(docs: DataFrame, path: str, capacity: int = 4096, close_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece."""
     spark = docs.sparkSession
-    cut = stored(pieces(docs, path, capacity, close_id, id_col, text_col).withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)).cast("int")), "pieces")
-    by_salt = stored(cut.groupBy("length", "_salt").agg(F.count("*").alias("_n")), "lengths")  # at most capacity x SALTS rows
+    cut = stored(pieces(docs, path, capacity, close_id, id_col, text_col), "pieces")
+    salts = max(256, -(-cut.count() // RANKED))  # were all pieces of one length, a task would rank RANKED of them
+    cut = cut.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)).cast("int"))
+    by_salt = stored(cut.groupBy("length", "_salt").agg(F.count("*").alias("_n")), "lengths")  # at most capacity x salts rows
     counts = dict(by_salt.groupBy("length").agg(F.sum("_n")).collect())  # at most capacity rows
     plan = make_plan(counts, capacity)
     before = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)

@@ -18,7 +18,8 @@ scoring.  Words above one in `rare` of all tokens (fewer than `rare` words) are
 table; the others of a text are joined with the table of words.
 
 Null texts are empty: one token, the end.  Base scores are the add-half unigram's of the words themselves.
-Each row gets a row, whatever ids repeat; a null id counts as crc32 0.
+Each row gets a row, whatever ids repeat; a null id counts as crc32 0; an empty table gives an empty one.  Words as frequent as
+the bounds of the alphabet are not among the frequent ones.  A very long text costs memory for its classes.  Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations

@@ -7,7 +7,9 @@ merged until none is left.  The count is the initial symbols minus the merges.
 Null and empty texts have 0 tokens.  Special strings inside a text count as one
 token each, as the library does by default.  One row a row of the input, whatever
 repeats; other columns are not read.  Counts are kept for pieces of text between
-spaces, as pre-tokens never span a space that a non-space follows.
+spaces, as pre-tokens never span a space that a non-space follows; what is kept is bounded in bytes, and long pieces are not
+kept.  A very long text is counted piece by piece; one pre-token costs some 50 bytes of memory a byte while it is merged.  An empty table
+gives an empty one; equal ranks cannot be: the leftmost of equal pairs is merged first.
 """
 
 from __future__ import annotations
@@ -15,22 +17,22 @@ from __future__ import annotations
 import functools
 import json
 import re
+from array import array
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from tidemark.llm.common import slices
+from tidemark.llm.common import Kept, named, slices
 
 # The pre-token pattern of the vocabulary, with Unicode's White_Space written out.
 WS = r"\t-\r \x85\xa0  -     　"
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WS}\p{{L}}\p{{N}}]+|[{WS}]+(?![^{WS}])|[{WS}]+"
 
-#: Counts kept by a Python worker; beyond that it starts anew.
-CACHE = 700_000
+#: Bytes of a pre-token from which on its symbols are held in arrays.
+LONG = 4096
 _UNSAFE = re.compile(rf" (?:[{WS}]|\Z)")
 _CUT = re.compile(rf" (?=[^{WS}])")
 
@@ -45,20 +47,6 @@ def byte_symbols() -> list[str]:
     return out
 
 
-class _Kept(dict):
-    """Counts by piece; a missing one is computed."""
-
-    def __init__(self, compute):
-        super().__init__()
-        self.compute = compute
-
-    def __missing__(self, piece):
-        if len(self) >= CACHE:
-            self.clear()
-        n = self[piece] = self.compute(piece)
-        return n
-
-
 class TokenCounter:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -77,20 +65,22 @@ class TokenCounter:
             raise ValueError("special tokens that take their surroundings are not supported")
         self.special = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True)))) if special else None
         self.pattern = regex.compile(PATTERN)
-        self.words = _Kept(self.merged)
-        self.pieces = _Kept(lambda piece: self.pre_tokens(" " + piece))
+        self.words = Kept(self.merged)
+        self.pieces = Kept(lambda piece: self.pre_tokens(" " + piece), room=96 << 20)
 
     def merged(self, word: str) -> int:
         """The tokens of one pre-token."""
-        sym = list(word.encode())
+        sym = word.encode()
         n = count = len(sym)
+        kind = list if n < LONG else functools.partial(array, "i")  # lists are quicker, arrays smaller
+        sym = kind(iter(sym))
         pairs = self.pairs.get
         # an entry is rank << 32 | position of the left symbol
         heap = [p >> 20 << 32 | i for i in range(n - 1) if (p := pairs(sym[i] << 20 | sym[i + 1]))]
         if not heap:
             return count
         heapify(heap)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        after, before = kind(range(1, n + 1)), kind(range(-1, n - 1))
         while heap:
             top = heappop(heap)
             i = top & 0xFFFFFFFF
@@ -137,7 +127,7 @@ def counter(path: str) -> TokenCounter:
 
 def token_counts(docs: DataFrame, path: str, limit: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes (UTF-8), n_tokens, over_limit (n_tokens > limit) for each row."""
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    docs = docs.select(named(id_col).alias("doc_id"), named(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = counter(path)

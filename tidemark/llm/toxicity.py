@@ -14,7 +14,9 @@ passages.  A text's evidence, the sum of -log E over its passages (or that of it
 probability by a logistic curve.
 
 Null and empty texts have no segment and get the lowest evidence.  Labels of null id or null value
-are left out; an id with several labels counts as toxic if one says so; each input row gets a row.
+are left out; an id with several labels counts as toxic if one says so; each input row gets a row.  Of equally good segments the
+shortest, then the first is meant.  Empty tables: without labels all texts get the same low score, no documents give no rows.  A very long text costs
+memory for its words' scores.  Other columns of either table are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import crc32_of_id, slices, stored, utf8
+from tidemark.llm.common import Kept, crc32_of_id, slices, stored, utf8
 from tidemark.llm.decontaminate import words
 from tidemark.llm.simhash import shingle_hashes
 
@@ -42,28 +44,19 @@ DRIFT = 2.0
 EVIDENCE = (-12.0, 40.0)
 #: Independent least hashes of a text's three-word shingles, by which copies are recognised.
 SKETCH = 4
-#: Words kept by a Python worker between batches.
-CACHE = 400_000
+#: Bytes of text whose words a task counts before it hands them on.
+FLUSH_BYTES = 24 << 20
 
 
-class TokenScores(dict):
+class TokenScores(Kept):
     """Log-odds less drift, by word; unseen words take that of their longest known beginning."""
 
     def __init__(self, seen: dict[bytes, float], beginnings: dict[bytes, float]):
-        super().__init__(seen)
-        self.seen, self.beginnings = seen, beginnings
-
-    def __missing__(self, word: bytes) -> float:
-        if len(self) >= len(self.seen) + CACHE:
-            self.clear()
-            self.update(self.seen)
-        value = -DRIFT
-        for n in BEGINNINGS:
-            if len(word) >= n and (v := self.beginnings.get(word[:n])) is not None:
-                value = v
-                break
-        self[word] = value
-        return value
+        super().__init__(self.by_beginning, known=seen)
+        self.beginnings = beginnings
+
+    def by_beginning(self, word: bytes) -> float:
+        return next((v for n in BEGINNINGS if len(word) >= n and (v := self.beginnings.get(word[:n])) is not None), -DRIFT)
 
 
 def learn(counts: dict[bytes, tuple[float, float]], beginnings: dict[bytes, tuple[float, float]], base: float) -> tuple[dict, dict]:
@@ -236,12 +229,15 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 120_000, significance:
     train = labelled(docs, labels, sample)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: Counter = Counter()
+        total, size = Counter(), 0
         for part in slices(batches):
-            _features(total, *(part.column(i).to_pylist() for i in range(3)))
-            if len(total) > CACHE:
+            texts = part.column(0).to_pylist()
+            _features(total, texts, *(part.column(i).to_pylist() for i in (1, 2)))
+            size += sum(map(len, texts))
+            if size > FLUSH_BYTES:
                 yield _counter_batch(total)
                 total.clear()
+                size = 0
         yield _counter_batch(total)
 
     first = train.filter("half = 0")

@@ -13,7 +13,9 @@ The sweep is partitioned by the level's host and a salt of the url, and rules ar
 so that a host (or com) that a third of all urls have is swept by many tasks.
 
 Null urls and urls without :// have an empty host and path, no rule, and the default
-verdict.  Of rules for one host and path, block wins.  Repeated rows each get their verdict.
+verdict.  Of rules for one host and path, block wins.  Repeated rows each get their verdict.  Without rules every url gets the
+default, an empty table of pages gives an empty one.  A very long url is one key for each level that rules have, however many labels
+it has.  Other columns of either table are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,6 +23,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import named, stored
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Tasks that may sweep the urls of one host.
 SALTS = 64
@@ -48,22 +52,23 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", url_col: s
     """page_id, host, path, rule (null if none fits), verdict for each row.  rules: host, path, verdict."""
     rules = rules.select(F.translate("host", UPPER, LOWER).alias("host"), F.coalesce("path", F.lit("")).alias("path"), "verdict").filter(F.col("host").isNotNull())
     rules = rules.groupBy("host", "path").agg(F.max("verdict").alias("verdict"))
-    named = F.struct(F.concat("host", "path").alias("rule"), "verdict")
+    rule = F.struct(F.concat("host", "path").alias("rule"), "verdict")
     # the parent: the longest rule of the same host that begins the rule's path
-    shorter = rules.select(F.col("host").alias("_host"), F.col("path").alias("_path"), named.alias("_rule"))
+    shorter = rules.select(F.col("host").alias("_host"), F.col("path").alias("_path"), rule.alias("_rule"))
     heads = rules.select("host", "path", F.explode(F.sequence(F.lit(0), F.char_length("path"))).alias("n")).filter(F.col("n") < F.char_length("path"))
     parents = heads.join(shorter, (F.col("host") == F.col("_host")) & (F.substring("path", F.lit(1), F.col("n")) == F.col("_path")))
     parents = parents.groupBy("host", "path").agg(F.max_by("_rule", "n").alias("parent"))
     none = F.struct(F.lit(None).cast("string").alias("rule"), F.lit(None).cast("string").alias("verdict"))
     nested = rules.join(parents, ["host", "path"], "left").withColumn("rev", _reversed(F.col("host")))
-    start = F.struct(_key(F.col("rev"), F.col("path")).alias("key"), F.lit(0).alias("kind"), named.alias("top"))
+    start = F.struct(_key(F.col("rev"), F.col("path")).alias("key"), F.lit(0).alias("kind"), rule.alias("top"))
     end = F.struct(F.concat(_key(F.col("rev"), F.col("path")), F.lit(b"\xff").cast("binary")).alias("key"), F.lit(0).alias("kind"), F.coalesce("parent", none).alias("top"))
     blank = [F.lit(None).cast(t).alias(c) for c, t in (("row", "long"), ("level", "int"))]
     edges = nested.select("rev", F.explode(F.array(start, end)).alias("e")).select("rev", "e.*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), *blank)
 
     deepest = rules.agg(F.coalesce(F.max(F.size(F.split("host", r"\."))), F.lit(0))).first()[0]  # one number
-    host, path = host_and_path(F.col(url_col))
-    urls = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path")).withColumn("row", F.monotonically_increasing_id())
+    host, path = host_and_path(named(url_col))
+    # written before use, so that rows keep their numbers
+    urls = stored(pages.select(named(id_col).alias("page_id"), host.alias("host"), path.alias("path")).withColumn("row", F.monotonically_increasing_id()), "urls")
     levels = F.least(F.size(F.split("host", r"\.")), F.lit(deepest))
     levelled = urls.filter(F.col("host") != "").select("row", "host", "path", F.explode(F.sequence(F.lit(1), levels)).alias("level")) if deepest else urls.limit(0).select("row", "host", "path", F.lit(1).alias("level"))
     keys = levelled.withColumn("rev", _reversed(F.col("host"), F.col("level"))).select(

@@ -11,7 +11,8 @@ inflated to find their end, plain .warc files are stepped through by Content-Len
 read file by file.
 
 Null payloads count as empty.  Pages with equal payloads (by SHA-1) are revisits of the one with the smallest id;
-equal ids are one page, rows without id count as larger than any.
+equal ids are one page, rows without id count as larger than any.  An empty table gives an archive without records.  A very long payload
+is one record, held once in its task.  Other columns of pages are not read, whatever their names.
 """
 
 from __future__ import annotations
