@@ -6,8 +6,8 @@ bytes, which tell much of language and form.  A word's probability is that of it
 the classes before it, times its add-half share of its class, where all unseen words are one.
 
 Learning: contexts of one to three symbols that come `least` times or more, whatever the size of the corpus, are retained if
-their next-symbol distribution diverges from that of their longest retained suffix: N KL > the BIC price of its
-symbols.  A state's distribution is smoothed with its suffix's by Witten and Bell's weights, the root's by half
+their next-symbol distribution diverges from that of their longest retained suffix: N KL > the price of naming each of its
+symbols once after that suffix, so that symbols which came once never pay.  A state's distribution is smoothed with its suffix's by Witten and Bell's weights, the root's by half
 counts.  Each symbol is scored in the state of the longest retained suffix of what came before.
 
 The tree is never in one place.  Texts are laid out in blocks of bounded tokens, and a block asks others by messages of packed
@@ -113,7 +113,7 @@ class SuffixTree:
                 if total < least:
                     continue
                 below = self._log(np.full(len(s), up), s, codes, logs)
-                if float((m * (np.log(m / total) - below * np.log(10))).sum()) <= 0.5 * kinds * np.log(total):
+                if float((m * (np.log(m / total) - below * np.log(10))).sum()) <= -float(below.sum()) * np.log(10):
                     continue
                 where[i] = fresh[p] = len(self.parent)
                 self.parent.append(up)
@@ -330,7 +330,8 @@ def _divergent(n: np.ndarray, below: np.ndarray, first: np.ndarray, least: int)
     """Of contexts that begin at `first`: retained, total, kinds; n: how often each next symbol came, below: its probability after the suffix."""
     total, kinds = np.add.reduceat(n, first), np.add.reduceat((n > 0).astype(np.int64), first)
     gain = np.add.reduceat(n * (np.log(np.maximum(n, 1)) - np.log(below)), first) - total * np.log(np.maximum(total, 1))
-    return (total >= least) & (gain > 0.5 * kinds * np.log(np.maximum(total, 1))), total, kinds
+    price = np.add.reduceat(np.where(n > 0, -np.log(below), 0.0), first)
+    return (total >= least) & (gain > price), total, kinds
 
 
 def evaluated(codes: np.ndarray, n: np.ndarray, root: np.ndarray, depth: int, least: int, shared: tuple[int, np.ndarray, np.ndarray] | None = None) -> np.ndarray:
@@ -435,7 +436,7 @@ def tidy(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
-def score(docs: DataFrame, fold: int = 5, held: int = 1, depth: int = 3, least: int = 10, alphabet: int = 20_000) -> DataFrame:
+def score(docs: DataFrame, fold: int = 5, held: int = 1, depth: int = 3, least: int = 2, alphabet: int = 20_000) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row."""
     if not 1 <= depth <= 3:
         raise ValueError("contexts of one to three symbols")
