@@ -371,7 +371,7 @@ def test_quality(spark):
     assert not quality.quality(many).filter("doc_id = 99 and base_failed").count() and {r["doc_id"] for r in quality.keep(many).collect()} >= {90, 120}
 
 
-def test_url_filter(spark):
+def test_url_filter(spark, monkeypatch):
     rules = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("example.com", "/en/x/", "allow"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("a.net", "", "allow"), ("net", "/es/", "allow")]
     urls = [None, "", "no scheme", "http://", "HTTP://WWW.Example.COM/en/1", "http://example.com/en/x/1?q", "http://b.example.com/en/x#f", "http://b.example.com/en/x/", "http://badexample.com/en/", "http://example.com", "http://x.net/es/", "http://a.net?x=://y/", "http://c.a.net/es/1", "com://net/es/", "http://net/es/1", "http://..com/", "http://é.com/ü"] * 2
     page = spark.createDataFrame([(i, u, "<p>") for i, u in enumerate(urls)] + [(None, "http://q.com/", None)], "page_id long, url string, html string")
@@ -384,6 +384,11 @@ def test_url_filter(spark):
     by = {r["page_id"]: (r["host"], r["path"]) for r in out}
     assert by[4] == ("www.example.com", "/en/1") and by[0] == by[1] == by[2] == ("", "") and by[9] == ("example.com", "") and by[11] == ("a.net", "")
     assert url_filter.judge(page, spark.createDataFrame([], "host string, path string, verdict string")).filter("rule is null").count() == len(urls) + 1
+    monkeypatch.setattr(url_filter, "SWEEP_ROWS", 3)  # hosts are cut over several sweeps
+    cut = url_filter.judge(page, spark.createDataFrame(rules, "host string, path string, verdict string")).collect()
+    assert sorted(cut, key=repr) == sorted(out, key=repr)
+    empty = url_filter.judge(page.limit(0), spark.createDataFrame(rules, "host string, path string, verdict string"))
+    assert empty.collect() == []
 
 
 def test_warc(spark, tmp_path):

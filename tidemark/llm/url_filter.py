@@ -9,8 +9,8 @@ an end its parent, which is worked out on the rules beforehand; the top at a url
 the longest rule that fits at that level.  The longest host with a rule wins, then the
 longest path.
 
-The sweep is partitioned by the level's host and a salt of the url, and rules are copied to every salt,
-so that a host (or com) that a third of all urls have is swept by many tasks.
+The sweep is partitioned by the level's host and a salt of the url.  A host (or com) has one salt for each SWEEP_ROWS of its
+urls, counted beforehand, and its rules are copied to each, so that no sweep grows with the corpus and rules of small hosts are not copied.
 
 Null urls and urls without :// have an empty host and path, no rule, and the default
 verdict.  Of rules for one host and path, block wins.  Repeated rows each get their verdict.  Without rules every url gets the
@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import named, stored
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Tasks that may sweep the urls of one host.
-SALTS = 64
+#: Urls of one host that a sweep takes, about; hosts with more are cut.
+SWEEP_ROWS = 1_000_000
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -63,7 +63,7 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", url_col: s
     start = F.struct(_key(F.col("rev"), F.col("path")).alias("key"), F.lit(0).alias("kind"), rule.alias("top"))
     end = F.struct(F.concat(_key(F.col("rev"), F.col("path")), F.lit(b"\xff").cast("binary")).alias("key"), F.lit(0).alias("kind"), F.coalesce("parent", none).alias("top"))
     blank = [F.lit(None).cast(t).alias(c) for c, t in (("row", "long"), ("level", "int"))]
-    edges = nested.select("rev", F.explode(F.array(start, end)).alias("e")).select("rev", "e.*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), *blank)
+    edges = nested.select("rev", F.explode(F.array(start, end)).alias("e")).select("rev", "e.*", *blank)
 
     deepest = rules.agg(F.coalesce(F.max(F.size(F.split("host", r"\."))), F.lit(0))).first()[0]  # one number
     host, path = host_and_path(named(url_col))
@@ -71,9 +71,14 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", url_col: s
     urls = stored(pages.select(named(id_col).alias("page_id"), host.alias("host"), path.alias("path")).withColumn("row", F.monotonically_increasing_id()), "urls")
     levels = F.least(F.size(F.split("host", r"\.")), F.lit(deepest))
     levelled = urls.filter(F.col("host") != "").select("row", "host", "path", F.explode(F.sequence(F.lit(1), levels)).alias("level")) if deepest else urls.limit(0).select("row", "host", "path", F.lit(1).alias("level"))
-    keys = levelled.withColumn("rev", _reversed(F.col("host"), F.col("level"))).select(
+    levelled = levelled.withColumn("rev", _reversed(F.col("host"), F.col("level")))
+    # a row for SWEEP_ROWS keys at most; broadcast while the optimiser finds it small, else joined by host, where AQE splits hot ones
+    hot = stored(levelled.groupBy("rev").agg(F.count("*").alias("n")).filter(F.col("n") > SWEEP_ROWS).select("rev", F.ceil(F.col("n") / SWEEP_ROWS).cast("int").alias("salts")), "hot_hosts")
+    salts = F.coalesce("salts", F.lit(1))
+    edges = edges.join(hot, "rev", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts")
+    keys = levelled.join(hot, "rev", "left").select(
         "rev", _key(F.col("rev"), F.col("path")).alias("key"), F.lit(1).alias("kind"), F.lit(None).cast("struct<rule: string, verdict: string>").alias("top"),
-        F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int").alias("salt"), "row", "level",
+        F.pmod(F.xxhash64("row"), salts).cast("int").alias("salt"), "row", "level",
     )
     swept = Window.partitionBy("rev", "salt").orderBy("key", "kind").rowsBetween(Window.unboundedPreceding, 0)
     open_rule = edges.unionByName(keys).withColumn("open", F.last("top", ignorenulls=True).over(swept))
