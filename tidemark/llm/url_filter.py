@@ -10,7 +10,8 @@ the longest rule that fits at that level.  The longest host with a rule wins, th
 longest path.
 
 The sweep is partitioned by the level's host and a salt of the url.  A host (or com) has one salt for each SWEEP_ROWS of its
-urls, counted beforehand, and its rules are copied to each, so that no sweep grows with the corpus and rules of small hosts are not copied.
+urls, or each SWEEP_PART-th of all urls if that is less, counted beforehand, and its rules are copied to each: no sweep grows with the
+corpus, none takes much longer than others, and rules of small hosts are not copied.
 
 Null urls and urls without :// have an empty host and path, no rule, and the default
 verdict.  Of rules for one host and path, block wins.  Repeated rows each get their verdict.  Without rules every url gets the
@@ -26,8 +27,8 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import named, stored
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Urls of one host that a sweep takes, about; hosts with more are cut.
-SWEEP_ROWS = 1_000_000
+#: Urls of one host that a sweep takes, about, and the part of all urls; hosts with more are cut.
+SWEEP_ROWS, SWEEP_PART = 1_000_000, 64
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -72,8 +73,9 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", url_col: s
     levels = F.least(F.size(F.split("host", r"\.")), F.lit(deepest))
     levelled = urls.filter(F.col("host") != "").select("row", "host", "path", F.explode(F.sequence(F.lit(1), levels)).alias("level")) if deepest else urls.limit(0).select("row", "host", "path", F.lit(1).alias("level"))
     levelled = levelled.withColumn("rev", _reversed(F.col("host"), F.col("level")))
-    # a row for SWEEP_ROWS keys at most; broadcast while the optimiser finds it small, else joined by host, where AQE splits hot ones
-    hot = stored(levelled.groupBy("rev").agg(F.count("*").alias("n")).filter(F.col("n") > SWEEP_ROWS).select("rev", F.ceil(F.col("n") / SWEEP_ROWS).cast("int").alias("salts")), "hot_hosts")
+    most = max(1, min(SWEEP_ROWS, urls.count() // SWEEP_PART))  # one number, of the files' footers
+    # a row for each `most` keys of a level at most; broadcast while the optimiser finds it small, else joined by host, where AQE splits hot ones
+    hot = stored(levelled.groupBy("rev").agg(F.count("*").alias("n")).filter(F.col("n") > most).select("rev", F.ceil(F.col("n") / most).cast("int").alias("salts")), "hot_hosts")
     salts = F.coalesce("salts", F.lit(1))
     edges = edges.join(hot, "rev", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts")
     keys = levelled.join(hot, "rev", "left").select(
