@@ -4,16 +4,16 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.engine import Engine
 from tidemark.model import MUTATION
 from tidemark.plans.query import Query
 from tidemark.queries import AGG_SQL, BASIC, CLOCK, DAY, EVENTS, HOUR, IS_3, RAW, T0, _rounded, _spec, registered, shared_folder
-from tidemark.sources import tables
+from tidemark.sources import frames, tables
 from tidemark.sources.store import TABLES
-from tidemark.streaming import feed
+from tidemark.streaming import feed, reorder
 
 #: The newest version of each point of the events table.
 LIVE = f"""{EVENTS}, n AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY event_type, user_id, ts_ns ORDER BY seq DESC) AS rn FROM p) WHERE rn = 1)"""
@@ -224,6 +224,29 @@ def live_windows(spark, sf):
     return done.select("metric", (F.unix_micros("window.start") * 1000).alias("window_start"), F.col("count").alias("n"), F.round("sum", 4).alias("sum_v"), F.col("min").alias("min_v"), F.col("max").alias("max_v"))
 
 
+@registered("binary_frames", f"WITH {LIVE} SELECT {RAW} FROM n")
+def binary_frames(spark, sf):
+    """All points sent as PUSH frames, decoded and loaded in the order of the captures."""
+    engine = Engine(spark, shared_folder(spark), clock=lambda: CLOCK)
+    sent = frames.encode(points(spark, sf)).select(F.format_string("%020d", "seq").alias("path"), "content")
+    engine.ingest(frames.points(frames.decode(sent), CLOCK), order=["path", "frame", "item"])
+    return raw(engine.view().df)
+
+
+@registered("reordered", f"""WITH {EVENTS}, k AS (SELECT event_type, ts_ns, value, row_number() OVER (PARTITION BY event_type ORDER BY seq) AS number FROM p)
+  SELECT event_type, number, ts_ns, value FROM k WHERE number <> 9 AND number < coalesce((SELECT min(number) FROM k AS g WHERE g.event_type = k.event_type AND g.number = 9), 9223372036854775807)""")
+def reordered(spark, sf):
+    """The points of each type, numbered, the ninth lost, in a stream of several batches: what comes out is what precedes it."""
+    work = shared_folder(spark)
+    by = Window.partitionBy("event_type").orderBy("seq")
+    rows = tables.events(spark, sf).df.select("event_type", F.row_number().over(by).alias("number"), "ts_ns", "value").filter("number <> 9")
+    rows.repartition(6, F.xxhash64("event_type", "number")).write.parquet(f"{work}/in")
+    stream = spark.readStream.schema(spark.read.parquet(f"{work}/in").schema).option("maxFilesPerTrigger", 2).parquet(f"{work}/in")
+    out = reorder.reorder(stream, "event_type", "number", first=1, timeout_ms=None)
+    out.writeStream.format("parquet").option("path", f"{work}/out").option("checkpointLocation", f"{work}/progress").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{work}/out")
+
+
 @registered("follower_bootstrap", f"WITH {LIVE} SELECT {RAW} FROM n WHERE NOT ({IS_3})")
 def follower_bootstrap(spark, sf):
     """A follower filled from a snapshot, then fed with the leader's later changes; it ends with no lag."""
