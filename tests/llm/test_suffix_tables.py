@@ -63,12 +63,26 @@ def test_blocks_and_cuts_change_nothing(spark, monkeypatch):
     get = lambda: sorted([tuple(r) for r in st.score(df).collect()], key=repr)
     whole = get()
     assert len(whole) == 400
-    for name, value in (("BLOCK", 700), ("RANGE", (300, 50))):
+    for name, value in (("BLOCK", 700), ("RANGE", (300, 50)), ("OWNERS", 4), ("OWNER_BYTES", 3000)):
         monkeypatch.setattr(st, name, value)
+    assert st.owners_for(sum(len(t or "") for _, t in rows)) > 4
     for a, b in zip(whole, get()):
         assert a[:5] == b[:5] and a[5:] == pytest.approx(b[5:], rel=1e-5)
 
 
+def test_owners_grow_with_the_text():
+    assert [st.owners_for(n) for n in (0, 1, st.OWNERS * st.OWNER_BYTES, st.OWNERS * st.OWNER_BYTES + 1, 10**14)] == [1024, 1024, 1024, 2048, 1 << 18]
+
+
+def test_counts_beyond_32_bits(spark):
+    """A word that blocks count three thousand million times each."""
+    ask = lambda block, n: (block, 0, [st.pack(np.array([5, 9], np.uint64)), st.pack(np.array([n, 1], np.uint32)), st.pack(np.array([1, 2], np.uint16))])
+    asked = spark.createDataFrame([ask(0, 3_000_000_000), ask(1, 3_000_000_000)], "block long, target int, data array<binary>")
+    rows = st.own_words(asked, 100.0).collect()
+    assert [st.unpack(r["data"][0]).tolist() for r in rows if r["kind"] == "answer"] == [[6_000_000_000, 2]] * 2
+    assert [(r["k"], r["n"]) for r in rows if r["kind"] == "frequent"] == [(5, 6_000_000_000)]
+
+
 def test_contexts_grow_with_the_corpus(spark):
     """A context that comes 30 times tells as much after a thousand times as many other tokens as alone."""
     rng = np.random.default_rng(2)

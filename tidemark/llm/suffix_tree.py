@@ -44,8 +44,8 @@ START, END, OTHER, FIRST, NOTHING = 0, 1, 2, 3, 0xFFFF
 BITS = 20
 #: Tokens of a block, about.
 BLOCK = 1_000_000
-#: Owners of words.
-OWNERS = 1024
+#: Owners of words: at least so many, and one for each so many bytes of text, so that none is asked for more than some 10,000,000 words.
+OWNERS, OWNER_BYTES = 1024, 512 << 20
 #: Tokens whose contexts a range of the tree has, about: at most, and at least.
 RANGE = (2_000_000, 100_000)
 
@@ -182,13 +182,13 @@ def unpack(data: bytes) -> np.ndarray:
 class Alphabet:
     """Classes: the frequent words in the order of their hashes, then endings; of all the counts, and of endings the add-half denominators."""
 
-    def __init__(self, hashes: np.ndarray, counts: np.ndarray, endings: dict[int, tuple[int, int]], rest: tuple[int, int], n_texts: int):
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray, endings: dict[int, tuple[int, int]], rest: tuple[int, int], n_texts: int, owners: int = OWNERS):
         """hashes: of frequent words, unsigned and sorted; endings, rest: (tokens, distinct words)."""
         self.size = FIRST + len(hashes) + len(endings)
         first = FIRST + len(hashes)
         self.class_of_ending = np.full(1 << 16, OTHER, np.uint16)
         self.class_of_ending[list(endings)] = np.arange(first, self.size)
-        self.before = np.searchsorted(hashes >> np.uint64(64 - OWNERS.bit_length() + 1), np.arange(OWNERS))  # frequent words of earlier owners
+        self.before = np.searchsorted(hashes >> np.uint64(64 - owners.bit_length() + 1), np.arange(owners))  # frequent words of earlier owners
         self.counts = np.array([0, n_texts, rest[0], *counts, *[n for n, _ in endings.values()]], float)
         self.log_total = np.zeros(self.size)
         for at, (n, v) in zip([OTHER, *range(first, self.size)], [rest, *endings.values()]):
@@ -218,11 +218,16 @@ class Alphabet:
         return np.array(sorted(bounds), np.uint64), np.array(split, np.uint64)
 
 
-def blocks_and_questions(docs: DataFrame, fold: int, held: int) -> DataFrame:
+def owners_for(size: int) -> int:
+    """Owners of the words of texts of that many bytes: a power of two, as the first bits of a word's hash name its owner."""
+    return max(OWNERS, 1 << max(0, -(-size // OWNER_BYTES) - 1).bit_length())
+
+
+def blocks_and_questions(docs: DataFrame, fold: int, held: int, owners: int = OWNERS) -> DataFrame:
     """Rows of kind block (ids, data: lengths, train, words by rank of frequency, ranks by hash, endings) and of kind ask (target: an owner; data: hashes, training counts, endings)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     docs = docs.select("doc_id", utf8().alias("text"), (F.pmod(crc32_of_id(), F.lit(fold)) != held).alias("train"))
-    shift = np.uint64(64 - OWNERS.bit_length() + 1)
+    shift = np.uint64(64 - owners.bit_length() + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -293,7 +298,7 @@ def own_words(asked: DataFrame, floor: float) -> DataFrame:
         frequent = total > floor
         place = np.where(frequent, np.cumsum(frequent), 0).astype(np.uint16)
         ends = np.cumsum(lengths)[:-1]
-        answers = [[pack(t), pack(p)] for t, p in zip(np.split(total[of].astype(np.uint32), ends), np.split(place[of], ends))]
+        answers = [[pack(t), pack(p)] for t, p in zip(np.split(total[of], ends), np.split(place[of], ends))]  # counts may pass 32 bits; bytes that are all 0 pack to nothing
         ending = np.concatenate(e)[at][~frequent].astype(np.int64)
         tokens, distinct = np.bincount(ending, total[~frequent]), np.bincount(ending, total[~frequent] > 0)
         which = np.unique(ending)
@@ -444,7 +449,8 @@ def score(docs: DataFrame, fold: int = 5, held: int = 1, depth: int = 3, least:
     kind = docs.schema["doc_id"].dataType.simpleString()
     docs = docs.select("doc_id", "text")
     path = shared_folder(spark, "blocks")
-    blocks_and_questions(docs, fold, held).write.partitionBy("kind").parquet(path)
+    owners = owners_for(docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0])  # one number
+    blocks_and_questions(docs, fold, held, owners).write.partitionBy("kind").parquet(path)
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
     shape = f"block long, target int, ids array<{kind}>, data array<binary>"
@@ -466,7 +472,7 @@ def score(docs: DataFrame, fold: int = 5, held: int = 1, depth: int = 3, least:
     endings = {r["k"]: (r["n"], r["v"]) for r in by if r["n"] >= floor}  # fewer than 2 x alphabet
     rest = tuple(sum(r[c] for r in by if r["n"] < floor) for c in ("n", "v"))
     v = len(hashes) + sum(r["v"] for r in by) + (n_texts > 0)
-    letters = Alphabet(hashes, counts, endings, rest, n_texts)
+    letters = Alphabet(hashes, counts, endings, rest, n_texts, owners)
     if letters.size >= NOTHING:
         raise ValueError("an alphabet of fewer than 65,535 symbols")
     base_floor = float(np.log10(n + 0.5 * (v + 1)))
