@@ -233,13 +233,27 @@ def binary_frames(spark, sf):
     return raw(engine.view().df)
 
 
+def numbered(df: DataFrame, key: str, order: str, folder: str) -> DataFrame:
+    """number: from 1 within each key, by range partitions, their counts and the place in each, so that no task sees all rows of a key."""
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    placed = df.repartitionByRange(n, key, order).sortWithinPartitions(key, order).withColumn("_id", F.monotonically_increasing_id())
+    placed.write.parquet(folder)  # the counts and the rows are of one run
+    placed = spark.read.parquet(folder).withColumn("_part", F.shiftright("_id", 33))
+    counts = placed.groupBy("_part", key).agg(F.count("*").alias("_n"), F.min("_id").alias("_first"))  # a row for each partition and its keys
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    base = counts.select(F.col("_part").alias("_p"), F.col(key).alias("_k"), (before + 1 - F.col("_first")).alias("_base"))
+    joined = placed.join(F.broadcast(base), (F.col("_part") == F.col("_p")) & F.col(key).eqNullSafe(F.col("_k")))
+    return joined.withColumn("number", F.col("_base") + F.col("_id")).drop("_id", "_part", "_p", "_k", "_base")
+
+
 @registered("reordered", f"""WITH {EVENTS}, k AS (SELECT event_type, ts_ns, value, row_number() OVER (PARTITION BY event_type ORDER BY seq) AS number FROM p)
   SELECT event_type, number, ts_ns, value FROM k WHERE number <> 9 AND number < coalesce((SELECT min(number) FROM k AS g WHERE g.event_type = k.event_type AND g.number = 9), 9223372036854775807)""")
 def reordered(spark, sf):
     """The points of each type, numbered, the ninth lost, in a stream of several batches: what comes out is what precedes it."""
     work = shared_folder(spark)
-    by = Window.partitionBy("event_type").orderBy("seq")
-    rows = tables.events(spark, sf).df.select("event_type", F.row_number().over(by).alias("number"), "ts_ns", "value").filter("number <> 9")
+    rows = numbered(tables.events(spark, sf).df.select("event_type", "seq", "ts_ns", "value"), "event_type", "seq", f"{work}/placed")
+    rows = rows.select("event_type", F.col("number").cast("int").alias("number"), "ts_ns", "value").filter("number <> 9")
     rows.repartition(6, F.xxhash64("event_type", "number")).write.parquet(f"{work}/in")
     stream = spark.readStream.schema(spark.read.parquet(f"{work}/in").schema).option("maxFilesPerTrigger", 2).parquet(f"{work}/in")
     out = reorder.reorder(stream, "event_type", "number", first=1, timeout_ms=None)
