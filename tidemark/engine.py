@@ -20,7 +20,7 @@ from tidemark.operators import catalog
 from tidemark.operators.live import live_points
 from tidemark.operators.maintenance import compact, laid_out
 from tidemark.operators.select import point_get
-from tidemark.operators.storage import compaction_due, partitions_for, violations
+from tidemark.operators.storage import StoredFile, compaction_due, partitions_for, violations
 from tidemark.plans.commands import Admin, Push, Remove, Show, parse
 from tidemark.plans.query import Query, next_cursor, plan
 from tidemark.sources.store import Store
@@ -156,17 +156,22 @@ class Engine:
     # maintenance
 
     def compact(self, partitions: int | None = None) -> None:
-        """Rewrites the log without what is overwritten, deleted or expired, by default into files of 128 MB."""
+        """Rewrites the log without what is overwritten, deleted or expired, by default into files of 128 MB or POINTS."""
         self.hooks.pre("compact", None)
         s, before = self.store, self.store.files()
+        partitions = partitions or self._partitions(before)
         live = compact(s.read("mutations"), s.read_if_any("series_tombs"), s.read_if_any("range_tombs"), now_ns=self.clock(), period_ns=self.retention_ns)
-        s.replace(laid_out(live, partitions or partitions_for(before)))
+        s.replace(laid_out(live, partitions))
         self.counts.update(compactions=1, bytes_read=sum(f.bytes for f in before), bytes_written=sum(f.bytes for f in s.files()))
         self.hooks.post("compact", None)
 
+    def _partitions(self, files: list[StoredFile]) -> int:
+        return partitions_for(files, points=self.store.read("mutations").count())  # by the files' footers
+
     def compact_if_due(self, most_files: int = 16, small_bytes: int = 16 << 20) -> bool:
-        """Compacts once there are more than most_files small files, as many puts leave them."""
-        due = compaction_due(self.store.files(), most_files=most_files, small_bytes=small_bytes)
+        """Compacts once there are more than most_files small files, as many puts leave them, if fewer files can hold their points."""
+        files = self.store.files()
+        due = compaction_due(files, most_files=most_files, small_bytes=small_bytes) and self._partitions(files) < len(files)
         if due:
             self.compact()
         return due

@@ -49,6 +49,10 @@ def compaction_score(folder: list[StoredFile], tombs: int, *, target_bytes: int
     return len(folder) - needed + tombs
 
 
-def partitions_for(files: list[StoredFile], target_bytes: int = 128 << 20) -> int:
-    """Files of about target_bytes for the bytes that there are."""
-    return max(1, -(-sum(f.bytes for f in files) // target_bytes))
+#: Points that one task of a compaction sorts: versions of maps are large in memory, however well their files compress.
+POINTS = 1 << 20
+
+
+def partitions_for(files: list[StoredFile], target_bytes: int = 128 << 20, points: int = 0) -> int:
+    """Files of about target_bytes for the bytes that there are, and of POINTS at most for that many points."""
+    return max(1, -(-sum(f.bytes for f in files) // target_bytes), -(-points // POINTS))
