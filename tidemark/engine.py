@@ -21,6 +21,7 @@ from tidemark.operators.live import live_points
 from tidemark.operators.maintenance import compact, laid_out
 from tidemark.operators.select import point_get
 from tidemark.operators.storage import StoredFile, compaction_due, partitions_for, violations
+from tidemark.plans.answers import packed, rows_of
 from tidemark.plans.commands import Admin, Push, Remove, Show, parse
 from tidemark.plans.query import Query, next_cursor, plan
 from tidemark.sources.store import Store
@@ -229,14 +230,15 @@ class Engine:
             return json.dumps({"status": "ERROR", "message": str(e)})
 
     def stream(self, text: str, *params) -> Iterator[dict]:
-        """The rows of a QUERY as they come, a partition at a time on the driver, then one end row with the count and the cursor."""
+        """The rows of a QUERY as they come, a partition at a time on the driver and in packs, then one end row with the count and the cursor."""
         cmd = parse(text, *params, now=self.clock())
         if not isinstance(cmd, Query):
             raise ValidationError("only QUERY has rows to stream")
         n, last = 0, None
-        for row in self.query(cmd).toLocalIterator():
-            n, last = n + 1, row
-            yield plain_row(row)
+        for pack in packed(self.query(cmd)).toLocalIterator():
+            for row in rows_of(pack["body"]):
+                n, last = n + 1, row
+                yield row
         yield {"status": "OK", "rows": n, "next_cursor": next_cursor(cmd, [last] * n if n == cmd.limit else [])}
 
     def _admin(self, cmd: Admin) -> dict:
