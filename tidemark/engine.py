@@ -104,7 +104,8 @@ class Engine:
         from pyspark.sql import Window
 
         n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        placed = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
+        # range partitions look at all rows beforehand: what makes the rows runs once, and is read twice
+        placed = self.store.staged(df).repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
         placed = self.store.staged(placed)  # the counts and the rows are of one run
         placed = placed.withColumn("_part", F.shiftright("_id", 33)).withColumn("_row", F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)))
         counts = placed.groupBy("_part").agg(F.count("*").alias("_n"))  # one row a partition
