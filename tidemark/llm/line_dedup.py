@@ -21,6 +21,7 @@ one place of rows with one id are one line.  A very long text costs as many rows
 from __future__ import annotations
 
 import uuid
+from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -32,6 +33,9 @@ from pyspark.sql import types as T
 from tidemark.llm.common import Sieve, discard, named, slices, stored
 
 MOD, BASE = (1 << 61) - 1, 0x1F3D5B79A8C6E421
+INVERSE = pow(BASE, -1, MOD)
+#: Keys that a task emits at a time.
+EMITTED = 200_000
 
 
 def _words(line: Column) -> Column:
@@ -73,27 +77,38 @@ def one_edit(a: list[bytes], b: list[bytes]) -> bool:
 
 
 def neighbourhood(words: list[bytes], min_words: int = 0) -> Iterator[tuple[int, int]]:
-    """(kind, key): 0 without word i and i, 1 without word i, 2 the whole; rolling, so linear in the words.  Of fewer than min_words words the whole only."""
-    h = [xxhash.xxh64_intdigest(w) % MOD for w in words]
+    """(kind, key): 0 without word i and i, 1 without word i, 2 the whole; rolling, so linear in the words, of which it keeps 8 bytes each.  Of fewer than min_words words the whole only."""
+    h = array("Q", (xxhash.xxh64_intdigest(w) % MOD for w in words))
     n = len(h)
-    after, power = [0] * (n + 1), 1  # the hash of all words from i on
-    for i in range(n - 1, -1, -1):
-        after[i] = (h[i] * power + after[i + 1]) % MOD
-        power = power * BASE % MOD
-    powers = [1]
-    for _ in range(n):
-        powers.append(powers[-1] * BASE % MOD)
-    yield 2, hash((after[0], n))
+    whole = 0
+    for x in h:
+        whole = (whole * BASE + x) % MOD
+    yield 2, hash((whole, n))
     if n < min_words:
         return
-    before, last = 0, None
-    for i in range(n):
-        without = (before * powers[n - 1 - i] + after[i + 1]) % MOD
+    without, before, power = whole, 0, pow(BASE, n - 1, MOD)
+    for i, x in enumerate(h):
+        without = (without + (before - x) * power) % MOD  # the word before comes back where this one goes
         yield 0, hash((without, n, i))
-        if h[i] != last:  # dropping any word of a run gives the same line
+        if i == 0 or x != before:  # dropping any word of a run gives the same line
             yield 1, hash((without, n - 1))
-        last = h[i]
-        before = (before * BASE + h[i]) % MOD
+        before = x
+        power = power * INVERSE % MOD
+
+
+def emitted(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.RecordBatch]:
+    """key, kind, id of lines (id, line), EMITTED rows at a time at most, within a line as well."""
+    for part in slices(batches):
+        ids, kinds, keys = [], [], []
+        for i, line in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+            for kind, key in neighbourhood(line.split(), min_words):
+                ids.append(i)
+                kinds.append(kind)
+                keys.append(key)
+                if len(ids) >= EMITTED:
+                    yield _keys(keys, kinds, ids)
+                    ids, kinds, keys = [], [], []
+        yield _keys(keys, kinds, ids)
 
 
 def duplicate_lines(docs: DataFrame, min_words: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -122,20 +137,7 @@ def duplicate_lines(docs: DataFrame, min_words: int = 8, id_col: str = "doc_id",
     texts = stored(texts.orderBy("first").select(F.monotonically_increasing_id().alias("id"), "h1", "h2", F.col("line").cast("binary").alias("line")), "alike_lines")
     discard(at)
 
-    def emitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
-            ids, kinds, keys = [], [], []
-            for i, line in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                for kind, key in neighbourhood(line.split(), min_words):
-                    ids.append(i)
-                    kinds.append(kind)
-                    keys.append(key)
-                if len(ids) > 200_000:
-                    yield _keys(keys, kinds, ids)
-                    ids, kinds, keys = [], [], []
-            yield _keys(keys, kinds, ids)
-
-    keys = stored(texts.select("id", "line").mapInArrow(emitted, "key long, kind byte, id long"), "neighbourhoods")
+    keys = stored(texts.select("id", "line").mapInArrow(lambda batches: emitted(batches, min_words), "key long, kind byte, id long"), "neighbourhoods")
     whole = F.col("kind") == 2
     least = keys.groupBy("key").agg(F.min(F.when(~whole, F.col("id"))).alias("variant"), F.min(F.when(whole, F.col("id"))).alias("whole"), F.count("*").alias("n"))
     least = stored(least.filter("n > 1"), "least")  # plain tables on both sides, so that Spark can split a key of many lines
