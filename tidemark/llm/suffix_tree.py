@@ -339,18 +339,33 @@ def _divergent(n: np.ndarray, below: np.ndarray, first: np.ndarray, least: int)
     return (total >= least) & (gain > price), total, kinds
 
 
+def _grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct keys in order, where each comes first, and of all keys their places among them: np.unique with less memory, as places have 32 bits."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    fresh = np.ones(len(keys), bool)
+    fresh[1:] = keys[1:] != keys[:-1]
+    place = np.cumsum(fresh, dtype=np.uint32)
+    place -= 1
+    of = np.empty(len(keys), np.uint32)
+    of[order] = place
+    return keys[fresh], order[fresh], of
+
+
 def evaluated(codes: np.ndarray, n: np.ndarray, root: np.ndarray, depth: int, least: int, shared: tuple[int, np.ndarray, np.ndarray] | None = None) -> np.ndarray:
     """log10 probability of each (distinct, sorted) code's symbol after its context, learned from n, how often each came in training.
 
     shared: a last symbol whose contexts are elsewhere, too, with all symbols after it and their counts.
     """
-    sym = (codes & np.uint64(0xFFFF)).astype(np.int64)
-    p = root[sym]
+    p = root[(codes & np.uint64(0xFFFF)).astype(np.uint16)]
     for d in range(1, depth + 1):
-        context = codes >> np.uint64(64 - 16 * d)
-        key = context << np.uint64(16) | sym.astype(np.uint64)
-        kinds_of, at, of = np.unique(key, return_index=True, return_inverse=True)
-        times, below, mine = np.bincount(of, n, len(at)), p[at], kinds_of >> np.uint64(16)
+        if d < 3:
+            kinds_of, at, of = _grouped(codes >> np.uint64(64 - 16 * d) << np.uint64(16) | codes & np.uint64(0xFFFF))
+            times, below = np.bincount(of, n, len(at)), p[at]
+            del at
+        else:  # a context of three and its symbol are the code
+            kinds_of, of, times, below = codes, slice(None), np.asarray(n, float), p
+        mine = kinds_of >> np.uint64(16)
         first = np.flatnonzero(np.concatenate([[True], mine[1:] != mine[:-1]]))
         retained, total, kinds = _divergent(times, below, first, least)
         retained &= (mine[first] & np.uint64(0xFFFF)) != NOTHING
@@ -362,13 +377,28 @@ def evaluated(codes: np.ndarray, n: np.ndarray, root: np.ndarray, depth: int, le
             here = mine == symbol
             where = np.minimum(np.searchsorted(after, kinds_of[here] & np.uint64(0xFFFF)), len(after) - 1)
             times[here] = np.where(after[where] == kinds_of[here] & np.uint64(0xFFFF), counts[where], 0)
-        spread = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(mine))))
-        kept = retained[spread]
-        now = np.where(kept, (times + kinds[spread] * below) / (total[spread] + kinds[spread]), below)
-        p = now[of]
+        spread = np.repeat(np.arange(len(first), dtype=np.uint32), np.diff(np.append(first, len(mine))))
+        del mine, first, kinds_of
+        kept = np.flatnonzero(retained[spread])
+        spread = spread[kept]
+        below[kept] = (times[kept] + kinds[spread] * below[kept]) / (total[spread] + kinds[spread])
+        del spread, kept, times
+        p = below[of]
     return np.log10(p)
 
 
+def answered(data: list[list[bytes]], root: np.ndarray, depth: int, least: int, shared: tuple[int, np.ndarray, np.ndarray] | None = None) -> list[bytes]:
+    """The answers of a range to blocks' messages (codes, counts), in their order; some 70 bytes a code at most."""
+    codes = [unpack(d[0]) for d in data]
+    ends = np.cumsum([len(c) for c in codes])[:-1]
+    codes = np.concatenate(codes)
+    distinct, _, of = _grouped(codes)
+    del codes, _
+    n = np.bincount(of, np.concatenate([unpack(d[1]) for d in data]), len(distinct))
+    lp = evaluated(distinct, n, root, depth, least, shared).astype(np.float32)
+    return [pack(lp[x]) for x in np.split(of, ends)]
+
+
 def log_scores(classed: DataFrame, alphabet: Alphabet, n_texts: int, depth: int, least: int) -> DataFrame:
     """block, target (a range), data (log10 probabilities of the block's distinct codes in the range, in order) from rows of block and data (lengths, train, classes, ...)."""
     spark = classed.sparkSession
@@ -420,12 +450,8 @@ def log_scores(classed: DataFrame, alphabet: Alphabet, n_texts: int, depth: int,
             given, blocks, data = (symbol[0], after, counts), blocks[1:], data[1:]
         if not blocks:
             return pa.table({"block": pa.array([], pa.int64()), "target": pa.array([], pa.int32()), "data": pa.array([], pa.list_(pa.binary()))})
-        codes = [unpack(d[0]) for d in data]
-        ends = np.cumsum([len(c) for c in codes])[:-1]
-        distinct, of = np.unique(np.concatenate(codes), return_inverse=True)
-        n = np.bincount(of, np.concatenate([unpack(d[1]) for d in data]), len(distinct))
-        lp = evaluated(distinct, n, root, depth, least, given).astype(np.float32)[of]
-        return pa.table({"block": pa.array(blocks, pa.int64()), "target": pa.array([rows.column("target")[0].as_py()] * len(blocks), pa.int32()), "data": pa.array([[pack(x)] for x in np.split(lp, ends)], pa.list_(pa.binary()))})
+        answers = answered(data, root, depth, least, given)
+        return pa.table({"block": pa.array(blocks, pa.int64()), "target": pa.array([rows.column("target")[0].as_py()] * len(blocks), pa.int32()), "data": pa.array([[x] for x in answers], pa.list_(pa.binary()))})
 
     shape = "block long, target int, data array<binary>"
     asked = classed.select("block", "data").mapInArrow(messages, shape)
